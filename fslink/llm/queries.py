@@ -6,18 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fslink.llm import packing
+from fslink.llm import packing, token_frames
 from fslink.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_frames.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.token_pieces(table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Query]:
-    return {"op9_packing": op9_packing}
+    return {"op2_token_frames": op2_token_frames, "op9_packing": op9_packing}
 
 
 def oracle_sql() -> dict[str, str]:
