@@ -6,22 +6,36 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fslink.llm import packing, token_frames
+from fslink.llm import gbt_quality, line_crf, packing, token_frames
 from fslink.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_crf.judge(table(spark, sf_dir, "documents"))
+
+
 def op2_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_frames.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op3_gbt_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return gbt_quality.score(docs, gbt_quality.learn(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.token_pieces(table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_token_frames": op2_token_frames, "op9_packing": op9_packing}
+    return {
+        "op1_line_crf": op1_line_crf,
+        "op2_token_frames": op2_token_frames,
+        "op3_gbt_quality": op3_gbt_quality,
+        "op9_packing": op9_packing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
