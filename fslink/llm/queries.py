@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fslink.llm import gbt_quality, line_crf, mixing, packing, token_counts, token_frames
+from fslink.llm import gbt_quality, html_main_text, line_crf, mixing, packing, token_counts, token_frames
 from fslink.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,10 @@ def op3_gbt_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gbt_quality.score(docs, gbt_quality.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counts(table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,7 @@ def queries() -> dict[str, Query]:
         "op1_line_crf": op1_line_crf,
         "op2_token_frames": op2_token_frames,
         "op3_gbt_quality": op3_gbt_quality,
+        "op5_html_main_text": op5_html_main_text,
         "op6_token_counts": op6_token_counts,
         "op7_mixing": op7_mixing,
         "op9_packing": op9_packing,
