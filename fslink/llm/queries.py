@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fslink.llm import gbt_quality, html_main_text, line_crf, mixing, packing, token_counts, token_frames
+from fslink.llm import gbt_quality, html_main_text, line_crf, mixing, packing, secret_scan, token_counts, token_frames
 from fslink.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.token_pieces(table(spark, sf_dir, "documents")))
 
@@ -49,6 +53,7 @@ def queries() -> dict[str, Query]:
         "op5_html_main_text": op5_html_main_text,
         "op6_token_counts": op6_token_counts,
         "op7_mixing": op7_mixing,
+        "op8_secret_scan": op8_secret_scan,
         "op9_packing": op9_packing,
     }
 
