@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fslink.llm import gbt_quality, html_main_text, line_crf, mixing, packing, secret_scan, token_counts, token_frames
+from fslink.llm import gbt_quality, html_main_text, line_crf, mixing, multiset_hash, packing, secret_scan, token_counts, token_frames
 from fslink.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.token_pieces(table(spark, sf_dir, "documents")))
 
 
+def op10_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiset_hash.edits(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_line_crf": op1_line_crf,
@@ -55,6 +59,7 @@ def queries() -> dict[str, Query]:
         "op7_mixing": op7_mixing,
         "op8_secret_scan": op8_secret_scan,
         "op9_packing": op9_packing,
+        "op10_multiset_hash": op10_multiset_hash,
     }
 
 
