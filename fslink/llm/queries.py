@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fslink.llm import gbt_quality, html_main_text, line_crf, mixing, multiset_hash, packing, secret_scan, token_counts, token_frames
+from fslink.llm import gbt_quality, html_main_text, jaccard_join, line_crf, mixing, multiset_hash, packing, secret_scan, token_counts, token_frames
 from fslink.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,10 @@ def op3_gbt_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gbt_quality.score(docs, gbt_quality.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_classes(table(spark, sf_dir, "documents"))
+
+
 def op5_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main_text.extract(table(spark, sf_dir, "pages"))
 
@@ -54,6 +58,7 @@ def queries() -> dict[str, Query]:
         "op1_line_crf": op1_line_crf,
         "op2_token_frames": op2_token_frames,
         "op3_gbt_quality": op3_gbt_quality,
+        "op4_jaccard_join": op4_jaccard_join,
         "op5_html_main_text": op5_html_main_text,
         "op6_token_counts": op6_token_counts,
         "op7_mixing": op7_mixing,
