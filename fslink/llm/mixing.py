@@ -87,47 +87,84 @@ def position(share: Column, knots: Column) -> Column:
     return F.least(F.when(root > 0, a["t"] + 2 * rest / root).otherwise(b["t"]), b["t"])
 
 
-def mix(docs: DataFrame, weight: Callable[[int], float] = cyclic_weight, schedule: Callable[[int], Knots] = alternating_ramp, most: int = MOST_REPEATS) -> DataFrame:
-    """Per document (doc_id, text, source): doc_id, source, size, source_size, target, taken and
-    positions (one training position per pass that takes words of it), sorted by first position.
-
-    ``weight`` and ``schedule`` take a source's rank by code points (null last).  What is gathered
-    on the driver is one row per source.
-    """
-    spark = docs.sparkSession
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sized = cut(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size.alias("size"), F.xxhash64("doc_id", F.lit(ORDER_SEED)).alias("key")), "sizes")
+def _demand(sized: DataFrame, weight: Callable[[int], float], schedule: Callable[[int], Knots], most: int) -> tuple[DataFrame, int]:
+    """One row per source with its target and schedule, and the bits of hash buckets."""
     sources = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
     sources.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     rows = max((r["n"] for r in sources), default=0)
     bits = max(0, math.ceil(math.log2(max(1, rows / BUCKET_ROWS))))
     goal = targets([r["size"] for r in sources], [weight(k) for k in range(len(sources))], most)
-    facts = [(r["source"], k, r["size"], goal[k], integrated(schedule(k))) for k, r in enumerate(sources)]
-    known = spark.createDataFrame(facts, "source string, rank int, source_size long, target double, knots array<struct<t: double, w: double, share: double>>")
+    facts = [(r["source"], r["size"], goal[k], integrated(schedule(k))) for k, r in enumerate(sources)]
+    return sized.sparkSession.createDataFrame(facts, "its_source string, source_size long, target double, knots array<struct<t: double, w: double, share: double>>"), bits
+
 
-    bucket = F.shiftrightunsigned("key", 64 - bits) if bits else F.lit(0).cast("long")
-    dealt = sized.withColumn("bucket", bucket)
-    sums = dealt.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
+def _taken(sized: DataFrame, rows: DataFrame, weight, schedule, most: int) -> DataFrame:
+    """Adds source_size, target, passes, extra, taken and positions to ``rows``, which have the
+    columns of ``sized`` (doc_id, source, size, key) and maybe more."""
+    known, bits = _demand(sized, weight, schedule, most)
+    bucketed = lambda df: df.withColumn("bucket", F.shiftrightunsigned("key", 64 - bits) if bits else F.lit(0).cast("long"))
+    sums = bucketed(sized).groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    begins = sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("begin"))
+    begins = sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("bucket_begin"))
     inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = (
-        dealt.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+        bucketed(rows)
+        .withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
         .join(begins, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-        .select("doc_id", F.col("source").alias("of"), "size", (F.col("begin") + F.col("within")).alias("begin"))
-        .join(known, F.col("of").eqNullSafe(F.col("source")))
+        .withColumn("begin", F.col("bucket_begin") + F.col("within"))
+        .drop("bucket", "within", "s", "b", "bucket_begin")
+        .join(known, F.col("source").eqNullSafe(F.col("its_source")))
+        .drop("its_source")
     )
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = F.round(F.col("target")).cast("long") - F.col("passes") * F.col("source_size")
-    extra = F.least(F.greatest(F.col("rest") - F.col("begin"), F.lit(0)), F.col("size"))
-    at = lambda p: (p * F.col("source_size") + F.col("begin") + F.col("size") / 2) / F.col("target")
+    extra = F.least(F.greatest(rest - F.col("begin"), F.lit(0)), F.col("size"))
     copies = F.when(F.col("size") > 0, F.col("passes") + (F.col("extra") > 0).cast("long")).otherwise(F.lit(0))
-    found = (
+    at = lambda p: (p * F.col("source_size") + F.col("begin") + F.col("size") / 2) / F.col("target")
+    times = F.transform(F.sequence(F.lit(0), F.greatest(F.col("copies") - 1, F.lit(0))), lambda p: position(F.least(at(p), F.lit(1.0)), F.col("knots")))
+    return (
         placed.withColumn("passes", passes)
-        .withColumn("rest", rest)
         .withColumn("extra", extra.cast("long"))
         .withColumn("copies", copies.cast("int"))
         .withColumn("taken", F.col("passes") * F.col("size") + F.col("extra"))
-        .withColumn("positions", F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col("copies") - 1, F.lit(0))), lambda p: position(F.least(at(p), F.lit(1.0)), F.col("knots")))).otherwise(F.array().cast("array<double>")))
+        .withColumn("positions", F.when(F.col("copies") > 0, times).otherwise(F.array().cast("array<double>")))
     )
+
+
+def _sized(docs: DataFrame, *more: Column) -> DataFrame:
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size.alias("size"), F.xxhash64("doc_id", F.lit(ORDER_SEED)).alias("key"), *more)
+
+
+def mix(docs: DataFrame, weight: Callable[[int], float] = cyclic_weight, schedule: Callable[[int], Knots] = alternating_ramp, most: int = MOST_REPEATS) -> DataFrame:
+    """Per document (doc_id, text, source): doc_id, source, size, source_size, target, taken and
+    positions (one training position per pass that takes words of it), sorted by first position.
+
+    ``weight`` and ``schedule`` take a source's rank by code points (null last).  What is gathered
+    on the driver is one row per source.
+    """
+    sized = cut(_sized(docs), "sizes")
+    found = _taken(sized, sized, weight, schedule, most)
     return found.select("doc_id", "source", "size", "source_size", "target", "taken", "positions").orderBy(F.try_element_at("positions", F.lit(1)).asc_nulls_last(), "doc_id")
+
+
+def training_order(docs: DataFrame, weight: Callable[[int], float] = cyclic_weight, schedule: Callable[[int], Knots] = alternating_ramp, most: int = MOST_REPEATS) -> DataFrame:
+    """The mix itself: the documents, with their own columns, once for every pass that takes them, in
+    the order of training positions.  The pass that ends a source's target within a document takes
+    only that document's first words."""
+    sized = cut(_sized(docs), "sizes")
+    found = _taken(sized, _sized(docs, F.struct(*docs.columns).alias("doc")), weight, schedule, most)
+    copies = found.where("copies > 0").select("doc", "extra", "size", "passes", F.posexplode("positions").alias("turn", "position"))
+    text = F.col("doc.text")
+    first_words = F.array_join(F.zip_with(F.slice(F.split(text, WORD, -1), 1, F.col("extra").cast("int")), F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), 1, F.col("extra").cast("int")), lambda a, b: F.concat(a, b)), "")
+    part = (F.col("turn") == F.col("passes")) & (F.col("extra") < F.col("size"))
+    made = copies.withColumn("text", F.when(part, first_words).otherwise(text)).withColumn("part", part)
+    columns = []
+    for field in docs.schema.fields:
+        own = F.col("doc").getField(field.name)
+        if field.name == "text":
+            own = F.col("text")
+        elif field.name == "n_chars":
+            own = F.when(F.col("part"), F.length("text").cast(field.dataType)).otherwise(own)
+        columns.append(own.alias(field.name))
+    return made.orderBy("position", "doc.doc_id", "turn").select(*columns)
