@@ -1,20 +1,44 @@
 """The corpus pipeline: named stages, each one operator of ``fslink.llm`` over what the stage
-before it kept."""
+before it kept.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
+columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fslink.llm import packing
+from fslink.llm import gbt_quality, jaccard_join, mixing, packing, secret_scan
 from fslink.llm.common import cut, table
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, fitted on the labels, rejects go."""
+    return gbt_quality.accepted(docs, gbt_quality.learn(docs, table(spark, sf_dir, "labels")))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near-duplicates one document stays."""
+    return jaccard_join.one_of_each(docs)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in texts are replaced by a mark."""
+    return secret_scan.redacted(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents come as often as their source's target asks for, in training order."""
+    return mixing.training_order(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents' tokens into sequences."""
+    """The documents' tokens are packed into sequences."""
     return packing.pack(packing.token_pieces(docs))
 
 
-STAGES = [("packing", pack)]
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("secrets", secrets), ("mixture", mixture), ("packing", pack)]
 
 #: SQL can't express a stage with a tokenizer or a trained model; tests hold it against brute force.
 ORACLE_SQL = None
