@@ -30,7 +30,7 @@ CLUSTER_SIM = 0.35
 
 
 #: Counts and places that SQL engines give as 64-bit integers.
-LONGS = {"place", "step", "n", "rank", "retrieval_rank", "serial", "position", "size", "edges", "total"}
+LONGS = {"year", "place", "step", "n", "rank", "retrieval_rank", "serial", "position", "size", "edges", "total"}
 
 
 def query(f: Query) -> Query:
@@ -255,7 +255,7 @@ def _vectors(spark, d, k=TOP):
 
 @query
 def vector_topk(spark, d):
-    return _vectors(spark, d).select("case_id", "partner_id", F.round("sim", 5).alias("sim"), "retrieval_rank")
+    return _vectors(spark, d).select("case_id", "partner_id", "sim", "retrieval_rank")
 
 
 # Links, clusters
