@@ -14,15 +14,21 @@ EGO_BITS = 5.0
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for the vertices of undirected edges (a, b); root is the component's least node.
 
-    Rounds of contraction: each vertex points to its least neighbour, edges follow the pointers and
-    loops vanish, so a chain of n edges needs about log n rounds.  Every round is checkpointed.
+    Rounds of contraction: each vertex points to the least of itself and its neighbours in an order
+    drawn anew by a hash of the round, edges follow the pointers and loops vanish.  A round is expected
+    to take away a constant share of the vertices, also of a chain, so about log n rounds do.  Every
+    round is checkpointed.
     """
+    turn = 0
     pairs = lambda df: df.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     left = settle(pairs(edges))
     labels = settle(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node")))
     while left.take(1):
         around = left.union(left.select("b", "a"))
-        pointer = settle(around.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("w")))
+        turn += 1
+        drawn = lambda c, turn=turn: F.struct(F.xxhash64(c, F.lit(turn)).alias("order"), F.col(c).alias("node"))
+        least = around.groupBy("a").agg(F.min(drawn("b")).alias("m"))
+        pointer = settle(least.select(F.col("a").alias("v"), F.least(drawn("a"), "m").getField("node").alias("w")))
         moved = left.join(pointer, F.col("a") == F.col("v")).select(F.col("w").alias("a"), "b")
         moved = moved.join(pointer, F.col("b") == F.col("v")).select("a", F.col("w").alias("b"))
         left = settle(pairs(moved))

@@ -167,7 +167,7 @@ def normalise(rows: DataFrame, feed: Feed, vocabulary: Vocabulary, extract: bool
     feed from its description (or narrative)."""
     at = {canonical: F.col(f"`{native}`") for canonical, native in feed.columns.items() if native in rows.columns}
     kept = rows.withColumn("_class", lookup(at["crime_type"], vocabulary.class_labels(feed.code), strict=False)).where(F.col("_class").isNotNull())
-    registered = F.to_timestamp(at["registered_at"], F.lit(spark_pattern(feed.date_format)))
+    registered = F.to_timestamp(at["registered_at"], spark_pattern(feed.date_format))
     begin, end, timed = window(at["occurred_from"], at["occurred_to"], feed)
     family = F.lit(None).cast("string")
     for cls, name in vocabulary.family_of.items():

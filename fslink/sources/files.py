@@ -13,7 +13,8 @@ from pyspark.sql import types as T
 def read_feed(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """A CSV feed with a header; every cell a string, blank cells stay empty strings."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    return spark.read.csv(path, header=True, schema=schema, nullValue="\x00", emptyValue="", enforceSchema=False)
+    # The reader makes blank cells null; to the normaliser a blank is an empty string.
+    return spark.read.csv(path, header=True, schema=schema, enforceSchema=False).na.fill("")
 
 
 def write_feed(rows: DataFrame, path: str) -> None:
