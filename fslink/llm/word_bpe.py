@@ -17,8 +17,8 @@ import struct
 
 from fslink.llm.common import tokenizer_path
 
-#: Words kept per Python worker: about 150 bytes each.
-CACHE_WORDS = 600_000
+#: Words in each of a worker's two generations: about 200 bytes each.
+CACHE_WORDS = 500_000
 #: Chunks longer than this aren't kept.
 CACHE_CHARS = 40
 
@@ -34,33 +34,48 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b if b in own else next(spare)) for b in range(256)}
 
 
-class WordIds(dict):
+class Generations(dict):
+    """A bounded cache in two generations: when the young one is full it becomes the old one, and
+    what is used again moves back, so frequent words stay."""
+
+    def __init__(self):
+        super().__init__()
+        self.old: dict = {}
+
+    def __missing__(self, word: str):
+        found = self.old.get(word)
+        if found is None:
+            found = self.made(word)
+        if len(word) <= CACHE_CHARS:
+            if len(self) >= CACHE_WORDS:
+                self.old = dict(self)
+                self.clear()
+            self[word] = found
+        return found
+
+
+class WordIds(Generations):
     """word -> its ids as little-endian unsigned 32-bit integers, in bytes."""
 
     def __init__(self, file: str):
         from tokenizers import Tokenizer
 
-        super().__init__({"": b""})
+        super().__init__()
         self.full = Tokenizer.from_file(file)
         self.model = self.full.model
         self.letters = byte_alphabet()
 
-    def __missing__(self, word: str) -> bytes:
+    def made(self, word: str) -> bytes:
         if "<|" not in word and _PLAIN.fullmatch(word):
-            low = word.lower()
-            ids = []
-            for part in _PARTS.findall(low):
-                if not part.isascii():
-                    part = "".join(map(self.letters.__getitem__, part.encode()))
-                ids += [t.id for t in self.model.tokenize(part)]
+            parts = _PARTS.findall(word.lower())
+            if len(parts) != 1 or parts[0] != word:  # a lower-case part is a word with the same ids
+                return b"".join([self[p] for p in parts])
+            if not word.isascii():
+                word = "".join(map(self.letters.__getitem__, word.encode()))
+            ids = [t.id for t in self.model.tokenize(word)]
         else:
             ids = self.full.encode(word, add_special_tokens=False).ids
-        out = struct.pack(f"<{len(ids)}I", *ids)
-        if len(word) <= CACHE_CHARS:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[word] = out
-        return out
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def text(self, text: str | None) -> bytes:
         if not text:
