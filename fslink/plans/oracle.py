@@ -131,12 +131,12 @@ ORACLES: dict[str, str] = {
     "links_with_contributions": f"{LINKS} SELECT l.case_id, l.partner_id, coalesce(string_agg(c.field, ',' ORDER BY abs(round(c.bits, 6)) DESC, c.field), '') AS fields FROM links l LEFT JOIN con c ON c.id_a = l.case_id AND c.id_b = l.partner_id GROUP BY l.case_id, l.partner_id",
     "links_scope": f"{LINKS} SELECT case_id, partner_id, rank, total_bits FROM links WHERE case_id = 7 AND pair_class = 'same_type' ORDER BY rank LIMIT 5",
     "bits_sort_key": f"{LINKS} SELECT case_id, partner_id, lpad(CAST(greatest(0, least(999999, 999999 - CAST(round_even((total_bits + 100) * 1000, 0) AS INTEGER))) AS VARCHAR), 6, '0') || '#' || partner_id AS sk FROM links",
-    "clusters": f"WITH RECURSIVE {NEAR}, ed AS (SELECT case_id AS a, partner_id AS b, sim FROM near WHERE sim >= 0.35), sym AS (SELECT a, b FROM ed UNION SELECT b, a FROM ed), reach(n, r) AS (SELECT a, a FROM sym UNION SELECT s.b, q.r FROM reach q JOIN sym s ON s.a = q.n WHERE q.r < s.b OR true), root AS (SELECT n, min(r) AS r FROM reach GROUP BY n) SELECT m.r AS cluster_id, m.members, m.size, w.edges, round(w.mean_bits, 4) AS mean_bits FROM (SELECT r, string_agg(CAST(n AS VARCHAR), ',' ORDER BY n) AS members, count(*) AS size FROM root GROUP BY r) m JOIN (SELECT r, count(*) AS edges, avg(sim) AS mean_bits FROM ed JOIN root ON root.n = least(ed.a, ed.b) GROUP BY r) w USING (r)",
+    "clusters": f"WITH RECURSIVE {NEAR}, ed AS (SELECT case_id AS a, partner_id AS b, sim FROM near WHERE sim >= 0.35), sym AS (SELECT a, b FROM ed UNION SELECT b, a FROM ed), reach(n, r) AS (SELECT a, a FROM sym UNION SELECT s.b, q.r FROM reach q JOIN sym s ON s.a = q.n WHERE q.r < s.b OR true), root AS (SELECT n, min(r) AS r FROM reach GROUP BY n) SELECT m.r AS cluster_id, m.members, m.size, w.edges, round(w.mean_bits, 9) AS mean_bits FROM (SELECT r, string_agg(CAST(n AS VARCHAR), ',' ORDER BY n) AS members, count(*) AS size FROM root GROUP BY r) m JOIN (SELECT r, count(*) AS edges, avg(sim) AS mean_bits FROM ed JOIN root ON root.n = least(ed.a, ed.b) GROUP BY r) w USING (r)",
     "ego_cluster": f"{LINKS}, m AS (SELECT 7 AS member UNION SELECT partner_id FROM links WHERE case_id = 7 AND total_bits - coalesce(prior_bits, 0) >= 0.0), j AS (SELECT m.member, c.quarter AS place FROM m JOIN cases c ON c.id = m.member) SELECT CAST(member AS BIGINT) AS member, place, (SELECT count(DISTINCT place) > 1 FROM j) AS relocated FROM j",
     "recall_at_k": f"WITH {NEAR}, {LABELLED}, q AS (SELECT b.pair_class, b.case_id, count(n.case_id) / count(*) AS recall FROM both_ways b LEFT JOIN near n USING (case_id, partner_id) GROUP BY 1, 2) SELECT pair_class, count(*) AS queries, round(avg(recall), 6) AS recall FROM q GROUP BY pair_class",
     "entity_recall": f"WITH {NEAR}, {LABELLED}, q AS (SELECT b.entity, count(n.case_id) / count(*) AS recall FROM both_ways b LEFT JOIN near n USING (case_id, partner_id) GROUP BY 1) SELECT count(*) AS entities, round(avg(recall), 6) AS recall FROM q",
     "precision_at_k": f"{CANDIDATES}, ends AS (SELECT pair_class, id_a AS case_id, id_b AS partner_id, label, score FROM scored UNION ALL SELECT pair_class, id_b, id_a, label, score FROM scored), t AS (SELECT *, max(label) OVER (PARTITION BY pair_class, case_id) AS hit, row_number() OVER (PARTITION BY pair_class, case_id ORDER BY score DESC, partner_id) AS place FROM ends), p AS (SELECT pair_class, case_id, avg(label) AS p FROM t WHERE hit = 1 AND place <= 5 GROUP BY 1, 2) SELECT pair_class, count(*) AS queries, round(avg(p), 6) AS precision FROM p GROUP BY pair_class",
-    "pr_auc": f"{CANDIDATES}, d AS (SELECT pair_class, score, sum(label) AS h, count(*) AS n FROM scored GROUP BY 1, 2), r AS (SELECT pair_class, score, sum(h) OVER o AS tp, sum(n) OVER o AS seen, sum(h) OVER (PARTITION BY pair_class) AS pos, sum(n) OVER (PARTITION BY pair_class) AS pairs FROM d WINDOW o AS (PARTITION BY pair_class ORDER BY score DESC ROWS UNBOUNDED PRECEDING)), x AS (SELECT *, tp / seen AS pr, tp / pos AS re FROM r), y AS (SELECT pair_class, pos, pairs, (re - coalesce(lag(re) OVER w, 0)) * (pr + coalesce(lag(pr) OVER w, 1)) / 2 AS a FROM x WINDOW w AS (PARTITION BY pair_class ORDER BY score DESC)) SELECT pair_class, CAST(pos AS BIGINT) AS positives, CAST(pairs AS BIGINT) AS pairs, round(sum(a), 6) AS pr_auc FROM y GROUP BY 1, 2, 3",
+    "pr_auc": f"{CANDIDATES}, d AS (SELECT pair_class, score, sum(label) AS h, count(*) AS n FROM scored GROUP BY 1, 2), r AS (SELECT pair_class, score, sum(h) OVER o AS tp, sum(n) OVER o AS seen, sum(h) OVER (PARTITION BY pair_class) AS pos, sum(n) OVER (PARTITION BY pair_class) AS pairs FROM d WINDOW o AS (PARTITION BY pair_class ORDER BY score DESC ROWS UNBOUNDED PRECEDING)), x AS (SELECT *, tp / seen AS pr, tp / pos AS re FROM r), y AS (SELECT pair_class, pos, pairs, (re - coalesce(lag(re) OVER w, 0)) * (pr + coalesce(lag(pr) OVER w, 1)) / 2 AS a FROM x WINDOW w AS (PARTITION BY pair_class ORDER BY score DESC)) SELECT pair_class, CAST(pos AS BIGINT) AS positives, CAST(pairs AS BIGINT) AS pairs, round(sum(a), 9) AS pr_auc FROM y GROUP BY 1, 2, 3",
     "mutual_information": f"{C}, k AS (SELECT cls, status AS x, segment AS y, count(*) AS n FROM cases WHERE status IS NOT NULL AND segment IS NOT NULL GROUP BY 1, 2, 3), w AS (SELECT cls, n, sum(n) OVER (PARTITION BY cls) AS t, sum(n) OVER (PARTITION BY cls, x) AS nx, sum(n) OVER (PARTITION BY cls, y) AS ny FROM k) SELECT cls, CAST(max(t) AS BIGINT) AS n, round(sum(n / t * log2(n * t / (nx * ny))), 8) AS mi_bits FROM w WHERE t >= 50 GROUP BY cls",
     "z_scores": f"{C}, {EXPECTED} SELECT cls, value, n, round(observed, 6) AS observed, round(expected, 6) AS expected, round(abs(observed - expected) / sqrt(expected * (1 - expected) / total), 4) AS z FROM realised",
     "drift": f"{C}, {EXPECTED} SELECT cls, value, round(observed / expected - 1, 6) AS drift FROM realised ORDER BY abs(round(observed / expected - 1, 6)) DESC, cls, value LIMIT 15",

@@ -295,7 +295,7 @@ def bits_sort_key(spark, d):
 @query
 def clusters(spark, d):
     near = _vectors(spark, d).select(F.col("case_id").alias("id_a"), F.col("partner_id").alias("id_b"), F.col("sim").alias("total_bits"))
-    return graph.clusters(near, CLUSTER_SIM).select("cluster_id", F.array_join("members", ",").alias("members"), "size", "edges", F.round("mean_bits", 4).alias("mean_bits"))
+    return graph.clusters(near, CLUSTER_SIM).select("cluster_id", F.array_join("members", ",").alias("members"), "size", "edges", F.round("mean_bits", 9).alias("mean_bits"))
 
 
 @query
@@ -344,7 +344,7 @@ def precision_at_k(spark, d):
 
 @query
 def pr_auc(spark, d):
-    return metrics.pr_auc(_candidates(spark, d)).select("pair_class", "positives", "pairs", _r("pr_auc"))
+    return metrics.pr_auc(_candidates(spark, d)).select("pair_class", "positives", "pairs", F.round("pr_auc", 9).alias("pr_auc"))
 
 
 # Statistics
