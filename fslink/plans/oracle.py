@@ -87,7 +87,7 @@ links AS (SELECT n.case_id, n.partner_id, n.retrieval_rank, t.pair_class, t.prio
   FROM near n JOIN totals t ON t.id_a = n.case_id AND t.id_b = n.partner_id)"""
 
 LABELLED = "v AS (SELECT vec_id, label AS entity, CAST(vec_id % 2 AS VARCHAR) AS cls FROM embeddings), tp AS (SELECT a.entity, a.vec_id AS id_a, b.vec_id AS id_b, CASE WHEN a.cls = b.cls THEN 'same_type' ELSE 'cross_type' END AS pair_class FROM v a JOIN v b ON a.entity = b.entity AND a.vec_id < b.vec_id), both_ways AS (SELECT pair_class, entity, id_a AS case_id, id_b AS partner_id FROM tp UNION ALL SELECT pair_class, entity, id_b, id_a FROM tp)"
-CANDIDATES = f"WITH {NEAR}, {LABELLED}, cp AS (SELECT least(case_id, partner_id) AS id_a, greatest(case_id, partner_id) AS id_b, max(round(sim, 4)) AS score FROM near GROUP BY 1, 2), scored AS (SELECT c.id_a, c.id_b, CASE WHEN a.cls = b.cls THEN 'same_type' ELSE 'cross_type' END AS pair_class, CAST(a.entity = b.entity AS INTEGER) AS label, c.score FROM cp c JOIN v a ON a.vec_id = c.id_a JOIN v b ON b.vec_id = c.id_b)"
+CANDIDATES = f"WITH {NEAR}, {LABELLED}, cp AS (SELECT least(case_id, partner_id) AS id_a, greatest(case_id, partner_id) AS id_b, max(sim) AS score FROM near GROUP BY 1, 2), scored AS (SELECT c.id_a, c.id_b, CASE WHEN a.cls = b.cls THEN 'same_type' ELSE 'cross_type' END AS pair_class, CAST(a.entity = b.entity AS INTEGER) AS label, c.score FROM cp c JOIN v a ON a.vec_id = c.id_a JOIN v b ON b.vec_id = c.id_b)"
 
 TOKENS = "regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')"
 FNV = "list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split(term, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda h, c: (xor(h, c) * 16777619) & 4294967295)"

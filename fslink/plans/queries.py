@@ -330,7 +330,7 @@ def entity_recall(spark, d):
 
 def _candidates(spark, d):
     near = _vectors(spark, d)
-    pairs = near.groupBy(F.least("case_id", "partner_id").alias("id_a"), F.greatest("case_id", "partner_id").alias("id_b")).agg(F.max(F.round("sim", 4)).alias("score"))
+    pairs = near.groupBy(F.least("case_id", "partner_id").alias("id_a"), F.greatest("case_id", "partner_id").alias("id_b")).agg(F.max("sim").alias("score"))
     v = _labelled(spark, d)
     side = lambda x: v.select(F.col("vec_id").alias(f"id_{x}"), F.col("entity").alias(f"e_{x}"), F.col("cls").alias(f"c_{x}"))
     rows = pairs.join(side("a"), "id_a").join(side("b"), "id_b")
