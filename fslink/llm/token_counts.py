@@ -1,6 +1,6 @@
 """Token counts of whole texts, with huge documents encoded in overlapping chunks.
 
-Short texts go through the library in one call.  A text of more than ``CHUNK`` characters is cut
+A text of more than ``CHUNK`` characters is cut
 into chunks that overlap.  Each chunk is encoded with offsets; in an overlap both chunks give their
 own token boundaries.  The vocabulary's splitter looks at a character and at what stands right
 before and after it, so a cut between pieces is proven stable where both encodings have a token
@@ -8,6 +8,10 @@ boundary and the text has a letter or digit before it and a single space after i
 digit follows: no piece of the pattern reaches over that place, whatever surrounds it.  There the
 two chunks are spliced.  Without such a place the overlap is doubled, in the end to the whole text.
 
+Shorter texts go through a cache: where a single space stands between two visible characters, the
+same argument lets a text be cut before the space, and a piece met before costs one lookup.  A text
+with a space of any other kind goes to the library whole.
+
 Defined results: a null text counts as empty (0 bytes, 0 tokens); repeated rows are counted alike;
 an empty table gives an empty result; other columns are ignored.
 """
@@ -15,6 +19,7 @@ an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import bisect
+import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -22,14 +27,51 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fslink.llm.common import tokenizer_path
+from fslink.llm.word_bpe import Generations, byte_alphabet
 
 LIMIT = 512
 CHUNK = 32_768
 OVERLAP = 512
-#: Characters of short texts that go to the library in one call.
+#: Characters of other texts that go to the library in one call.
 CALL_CHARS = 1 << 18
 
+# Visible characters at which both the pattern and this module agree that they aren't white space.
+_UNSURE = re.compile("^ | $|  |[^!-~\xa1-\xac\xae-\u024f] | [^!-~\xa1-\xac\xae-\u024f]")
+_PLAIN = re.compile("[!-&(-~\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+_PARTS = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+|[0-9]+|[^A-Za-z0-9\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+
 _tokenizers: dict = {}
+_pieces: dict = {}
+
+
+class PieceCounts(Generations):
+    """piece -> its tokens; with ``space`` a space stands before the piece."""
+
+    def __init__(self, full, space: bool, bare: PieceCounts | None = None):
+        super().__init__()
+        self.full, self.space, self.bare = full, " " if space else "", bare
+        self.model, self.letters = full.model, byte_alphabet()
+        self.before = self.letters[32] if space else ""
+
+    def made(self, piece: str) -> int:
+        if "<|" in piece or not _PLAIN.fullmatch(piece):
+            return len(self.full.encode(self.space + piece, add_special_tokens=False).ids)
+        first, *rest = _PARTS.findall(piece)
+        if rest:
+            bare = self.bare or self
+            return self[first] + sum([bare[p] for p in rest])
+        if not first.isascii():
+            first = "".join(map(self.letters.__getitem__, first.encode()))
+        return len(self.model.tokenize(self.before + first))
+
+
+def piece_counts(name: str) -> tuple[PieceCounts, PieceCounts]:
+    """The worker's own caches for pieces at a text's start and after a space."""
+    if name not in _pieces:
+        full = tokenizer(name)
+        bare = PieceCounts(full, False)
+        _pieces[name] = bare, PieceCounts(full, True, bare)
+    return _pieces[name]
 
 
 def tokenizer(name: str):
@@ -88,6 +130,7 @@ def counts(docs: DataFrame, limit: int = LIMIT, vocabulary: str = "byte_bpe_50k.
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = tokenizer(vocabulary)
+        bare, spaced = piece_counts(vocabulary)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             found = [0] * len(texts)
@@ -97,6 +140,10 @@ def counts(docs: DataFrame, limit: int = LIMIT, vocabulary: str = "byte_bpe_50k.
                 if len(text) > chunk:
                     found[i] = count(made.encode, text, chunk, overlap)
                     continue
+                if not _UNSURE.search(text):
+                    head, *tail = text.split(" ")
+                    found[i] = (bare[head] if head else 0) + sum(map(spaced.__getitem__, tail))
+                    continue
                 call.append(i)
                 size += len(text)
                 if size >= CALL_CHARS:
