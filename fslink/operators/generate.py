@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fslink.functions.evidence import alpha_of, case_id
+from fslink.operators.normalise import DERIVED, UNKNOWABLE, time_band
 from fslink.operators.statistics import serial_numbers
 
 SERIAL, BACKGROUND = 1, 2
@@ -84,6 +85,11 @@ class World:
     axes: int = 3
     stations: int = 6
     copies: dict[str, tuple[str, float]] = field(default_factory=dict)
+    bands: dict[str, tuple[int, int]] = field(default_factory=dict)
+    widths: dict[str, tuple[float, float]] = field(default_factory=dict)
+    width_field: str = "occupancy"
+    width: tuple[float, float] = (8.0, 0.8)
+    delay: tuple[float, float] = (18.0, 1.0)
 
     @property
     def alpha(self) -> float:
@@ -106,9 +112,17 @@ def _values(world: World, cls: str, chances: dict[str, np.ndarray], rng: np.rand
     return drawn
 
 
-def _clock(rng: np.random.Generator) -> tuple[float, float, float]:
-    """Time of day, window width and delay of registration, in hours."""
-    return 24 * rng.random(), math.exp(math.log(8) + 0.8 * rng.normal()), math.exp(math.log(18) + rng.normal())
+def _clock(world: World, cls: str, values: dict[str, str], rng: np.random.Generator) -> tuple[float, float, float]:
+    """Time of day, window width and delay of registration, in hours.
+
+    The time falls into the case's band if it has one.  Widths are log-normal (median, sigma): those
+    of the value of ``width_field``, else of the class, else ``width``.
+    """
+    a, b = world.bands.get(values.get(DERIVED), (0, 24))
+    hour = (a + ((b - a) % 24 or 24) * rng.random()) % 24
+    median, sigma = world.widths.get(values.get(world.width_field)) or world.widths.get(cls) or world.width
+    late, spread = world.delay
+    return hour, median * math.exp(sigma * rng.normal()), late * math.exp(spread * rng.normal())
 
 
 def series(world: World, seed: int, number: int) -> list[dict]:
@@ -154,7 +168,7 @@ def _pick(shares: dict[str, float], rng: np.random.Generator) -> str:
 
 
 def _case(entity, serial, k, state, district, cls, values, day, rng, world) -> dict:
-    hour, width, delay = _clock(rng)
+    hour, width, delay = _clock(world, cls, values, rng)
     at = pd.Timestamp(world.start) + pd.Timedelta(days=math.floor(day), hours=hour)
     begin = at - pd.Timedelta(hours=width * rng.random())
     end = begin + pd.Timedelta(hours=width)
@@ -182,7 +196,7 @@ def truth(spark: SparkSession, world: World, offenders: int, background: int, se
     return cases.withColumn("fir_no", fir).withColumn("case_id", case_id(F.col("state_code"), F.col("fir_no"), F.col("year"))).drop("fir_serial", "year")
 
 
-def uniform(seed: int, slot: str, *keys: str) -> Column:
+def uniform(seed: int, slot: str, *keys: str | Column) -> Column:
     """A number in [0, 1) that depends on the row's keys, the slot and the seed alone."""
     return F.pmod(F.xxhash64(F.lit(seed), F.lit(slot), *keys), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
@@ -196,9 +210,26 @@ def neighbours_of(edges: list[tuple[str, str]]) -> dict[str, list[str]]:
     return out
 
 
-def recorded(cases: DataFrame, fields: list[str], dropout: dict[str, dict[str, float]], confusion: dict[str, float], confusable: dict[str, list[tuple[str, str]]], absent: dict[str, list[str]], seed: int = 7) -> DataFrame:
+def _confused(value: Column, near: dict[str, list[str]], wrong: Column, valid: dict[str, tuple[str, ...]] | None, slot: str, seed: int, *keys: str | Column) -> Column:
+    """The value, or with chance ``wrong`` one of its neighbours that the case's class allows."""
+    mixed = value
+    for v, options in near.items():
+        for cls, allowed in (valid or {None: None}).items():
+            fine = [o for o in options if allowed is None or o in allowed]
+            if fine:
+                pick = F.get(F.array(*map(F.lit, fine)), F.floor(uniform(seed, f"pick:{slot}", *keys) * len(fine)).cast("int"))
+                mixed = F.when((value == v) & (F.lit(True) if cls is None else F.col("crime_type") == cls), pick).otherwise(mixed)
+    return F.when(uniform(seed, f"confuse:{slot}", *keys) < wrong, mixed).otherwise(value)
+
+
+def recorded(cases: DataFrame, fields: list[str], dropout: dict[str, dict[str, float]], confusion: dict[str, float], confusable: dict[str, list[tuple[str, str]]], absent: dict[str, list[str]], seed: int = 7, world: World | None = None, tags: frozenset[str] = frozenset(), unknowable_above_hours: float = 12) -> DataFrame:
     """Adds rec_<field>: what each place wrote down.  dropout and absent are per place and field
-    ('default' for all others), confusion per place; a confused value becomes a neighbour."""
+    ('default' for all others), confusion per place; a confused value becomes a neighbour.
+
+    With a world, neighbours that a case's class doesn't know are left out, and a time band is that
+    of the recorded window (null, too, if the window is too wide to place).  Each of several tags is
+    confused on its own.  The class (``crime_type``) is never blank.
+    """
     def per_place(of) -> Column:
         out = F.lit(0.0)
         for place in {*dropout, *confusion}:
@@ -207,17 +238,23 @@ def recorded(cases: DataFrame, fields: list[str], dropout: dict[str, dict[str, f
 
     made = {}
     for f in fields:
-        drop = per_place(lambda place, f=f: dropout.get(place, {}).get(f, dropout.get(place, {}).get("default", 0.0)))
+        drop = per_place(lambda place, f=f: 0.0 if f == "crime_type" else dropout.get(place, {}).get(f, dropout.get(place, {}).get("default", 0.0)))
         wrong = per_place(lambda place: confusion.get(place, 0.0))
-        value = F.col(f)
         near = neighbours_of(confusable.get(f, []))
-        mixed = value
-        for v, options in near.items():
-            pick = F.get(F.array(*map(F.lit, options)), F.floor(uniform(seed, f"pick:{f}", "case_id") * len(options)).cast("int"))
-            mixed = F.when(value == v, pick).otherwise(mixed)
-        said = F.when(uniform(seed, f"confuse:{f}", "case_id") < wrong, mixed).otherwise(value)
+        valid = {cls: models[f].values for cls, models in world.fields.items() if f in models} if world and f != "crime_type" else None
+        if f == DERIVED and world and world.bands:
+            band = time_band(F.col("occurred_from"), F.col("occurred_to"), world.bands, unknowable_above_hours)
+            said = F.when(band != UNKNOWABLE, band)
+        elif f in tags:
+            each = F.transform(F.split(F.when(F.col(f) != "", F.col(f)), ";"), lambda t: _confused(t, near, wrong, valid, f, seed, "case_id", t))  # noqa: B023
+            said = F.when(F.col(f) == "", "").otherwise(F.array_join(F.array_sort(F.array_distinct(each)), ";"))
+        else:
+            said = _confused(F.col(f), near, wrong, valid, f, seed, "case_id")
         gone = F.col("state_code").isin(*[p for p, names in absent.items() if f in names]) if any(f in x for x in absent.values()) else F.lit(False)
-        made[f"rec_{f}"] = F.when(~gone & (uniform(seed, f"drop:{f}", "case_id") >= drop), said)
+        kept = ~gone & (uniform(seed, f"drop:{f}", "case_id") >= drop)
+        made[f"rec_{f}"] = F.when(kept, said)
+        if f == DERIVED:
+            made["timed"] = kept
     return cases.withColumns(made)
 
 
@@ -263,7 +300,8 @@ def world_of(config: dict) -> World:
         neighbours={c: tuple(s["neighbours"]) for c, s in states.items()}, days=days, start=corpus["date_range"]["start"], tau=float(corpus["tau"]), repeat_rate=corpus["repeat_rate"]["value"],
         reference_frequency=corpus["repeat_rate"]["reference_frequency"], least_length=length["minimum"], extra_mean=length["extra_mean"], extra_shape=length["extra_dispersion"],
         gaps=tuple((g["weight"], g["mean"]) for g in corpus["gap_days"]), moving=corpus["relocation"]["probability"], dormant=tuple(corpus["relocation"]["dormancy_days"]), same_district=corpus["geography"]["same_district_rate"], axes=len(axes),
-        copies={"exit_mode": ("approach_mode", corpus["exit_same_as_approach"])},
+        copies={"exit_mode": ("approach_mode", corpus["exit_same_as_approach"])}, bands={b: tuple(span) for b, span in corpus["time_band"]["hours"].items()},
+        widths={k: (w["median"], w["sigma"]) for part in corpus["occurrence_window_hours"].values() for k, w in part.items()}, delay=(corpus["registration_delay_hours"]["median"], corpus["registration_delay_hours"]["sigma"]),
     )
 
 
