@@ -100,6 +100,8 @@ ORACLES: dict[str, str] = {
     "normalise_labels": "SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'F' THEN 'final' WHEN 'P' THEN 'partial' END AS status FROM orders",
     "scope_drop": "SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'urgent' WHEN '2-HIGH' THEN 'high' ELSE 'medium' END AS crime_type FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM')",
     "tag_split": "SELECT l_orderkey, coalesce(string_agg(CASE l_returnflag WHEN 'A' THEN 'accepted' WHEN 'R' THEN 'returned' END, ';' ORDER BY l_returnflag), '') AS tags FROM (SELECT DISTINCT l_orderkey, l_returnflag FROM lineitem) GROUP BY l_orderkey",
+    "native_rendering": "SELECT o_orderkey, o_orderstatus AS status_cell, coalesce(f, '') AS flags_cell FROM orders LEFT JOIN (SELECT l_orderkey, coalesce(string_agg(CASE l_returnflag WHEN 'A' THEN 'ACCEPTED' WHEN 'R' THEN 'RETURNED' END, ' / ' ORDER BY l_returnflag), 'NONE_OBSERVED') AS f FROM (SELECT DISTINCT l_orderkey, l_returnflag FROM lineitem) GROUP BY l_orderkey) ON l_orderkey = o_orderkey",
+    "summed_information": f"{C}, p AS (SELECT cls, unnest(['a', 'b', 'c', 'd', 'e', 'f']) AS pair, unnest([status, status, status, segment, segment, quarter]) AS x, unnest([segment, quarter, region, quarter, region, region]) AS y FROM cases), k AS (SELECT cls, pair, x, y, count(*) AS n FROM p WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY ALL), w AS (SELECT n, sum(n) OVER (PARTITION BY cls, pair) AS t, sum(n) OVER (PARTITION BY cls, pair, x) AS nx, sum(n) OVER (PARTITION BY cls, pair, y) AS ny FROM k) SELECT round(coalesce(sum(n / t * log2(n * t / (nx * ny))), 0), 6) AS observed FROM w WHERE t >= 50",
     "case_id_hash": "SELECT o_orderkey, substr(sha1(o_orderpriority || o_orderkey || year(o_orderdate)), 1, 16) AS case_id FROM orders",
     "time_band": f"SELECT event_id, CASE WHEN w > 43200 THEN '__UNKNOWABLE__' ELSE {BAND} END AS band FROM (SELECT event_id, w, hour(make_timestamp(epoch_us(ts) + w * 500000)) AS h FROM (SELECT event_id, ts, CAST(floor(abs(value) * 900) AS BIGINT) AS w FROM events))",
     "year_quarter": "SELECT o_orderkey, o_orderpriority || '#' || year(o_orderdate) || 'Q' || quarter(o_orderdate) AS key FROM orders",

@@ -11,8 +11,9 @@ from pyspark.sql.window import Window
 from fslink.functions import evidence as E
 from fslink.functions import text as X
 from fslink.operators import frequencies as Q
-from fslink.operators import graph, knn, metrics, model
+from fslink.operators import graph, knn, metrics, model, studies
 from fslink.operators import normalise as N
+from fslink.operators import render as R
 from fslink.operators import scoring as S
 from fslink.operators import statistics as T
 from fslink.plans.views import ALPHA_CROSS, ALPHA_SAME, SPEC, cases, table
@@ -67,6 +68,15 @@ def tag_split(spark, d):
     return raw.select("l_orderkey", F.array_join(N.split_tags(F.col("raw"), "|", FLAG_LABELS), ";").alias("tags"))
 
 
+@query
+def native_rendering(spark, d):
+    v = N.Vocabulary({}, {"flags": {value: {"X": value.upper(), "en": value} for value in ("accepted", "returned", N.NONE_OBSERVED)}, "status": {value: {"X": code} for code, value in STATUS_LABELS.items()}}, {}, ("status", "flags"), {}, frozenset({"flags"}))
+    feed = N.Feed("X", {}, delimiter=" / ")
+    tags = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_join(F.array_sort(F.collect_set(F.when(F.col("l_returnflag") != "N", N.lookup(F.col("l_returnflag"), FLAG_LABELS)))), ";").alias("tags"))
+    rows = table(spark, d, "orders").join(tags, "o_orderkey", "left").select("o_orderkey", "tags", N.lookup(F.col("o_orderstatus"), STATUS_LABELS).alias("status"))
+    return rows.select("o_orderkey", R.native_cell(F.col("status"), "status", feed, v).alias("status_cell"), R.native_cell(F.col("tags"), "flags", feed, v).alias("flags_cell"))
+
+
 @query
 def case_id_hash(spark, d):
     return table(spark, d, "orders").select("o_orderkey", E.case_id(F.col("o_orderpriority"), F.col("o_orderkey"), F.year("o_orderdate")).alias("case_id"))
@@ -443,6 +453,12 @@ def permutation_null(spark, d):
     return T.permutation_null(cases(spark, d), "id", "cls", "status", "segment", 20)
 
 
+@query
+def summed_information(spark, d):
+    found = studies.excess_information(cases(spark, d), "id", "cls", ["status", "segment", "quarter", "region"], 2)
+    return found.select(F.round("observed", 6).alias("observed"))
+
+
 # Sources, streams
 
 
