@@ -9,9 +9,11 @@ digit and a letter.  Their encoding is inferred (hexadecimal, base 32, lower-cas
 alphanumeric, base 64), each character becomes its code in that alphabet, and three tests ask
 whether the codes could be uniformly random: chi-squared over the alphabet, runs above and below
 its middle, and the correlation of neighbours.  Fisher's method combines their p-values.  Over all
-candidates of the table, a Benjamini-Hochberg procedure with weights in proportion to length (long
-candidates tell more) decides which are structured; its false-discovery rate bounds the share of
-random strings among those let go.  The rest are spans of kind ``random``.
+candidates of the table, a Benjamini-Hochberg procedure decides which are structured; its
+false-discovery rate bounds the share of random strings among those let go.  Candidates shorter than
+the mean weigh less, in proportion to length (they tell less); none weighs more than 1, so a random
+string of any length is let go with a chance of the limit at most.  The rest are spans of kind
+``random``.
 
 The procedure needs the number of candidates below each p-value; that is a histogram of at most
 ``P_BINS`` rows, however large the table.
@@ -56,8 +58,8 @@ REDACTED = "[redacted]"
 
 @dataclass(frozen=True)
 class Cut:
-    """Candidates of a weighted p-value up to ``limit`` are structured; lengths are weighed against
-    ``mean_length``."""
+    """Candidates of a weighted p-value up to ``limit`` are structured; lengths below
+    ``mean_length`` are weighed against it."""
 
     limit: float = 0.0
     mean_length: float = 1.0
@@ -111,7 +113,7 @@ def p_value(token: Column) -> Column:
 
 
 def _weighted(p: Column, length: Column, mean_length: float) -> Column:
-    return p / (length.cast("double") / F.lit(float(mean_length)))
+    return p / F.least(F.lit(1.0), length.cast("double") / F.lit(float(mean_length)))
 
 
 def structured_cut(docs: DataFrame, rate: float = RATE) -> Cut:
@@ -127,7 +129,7 @@ def structured_cut(docs: DataFrame, rate: float = RATE) -> Cut:
         return Cut()
     mean = sum(r["chars"] for r in rows) / m
     # The upper edge of each cell's weighted p-value, smallest first.
-    cells = sorted((10 ** (-r["bin"] / BINS_A_DECADE) / (r["chars"] / r["n"] / mean), r["n"]) for r in rows)
+    cells = sorted((10 ** (-r["bin"] / BINS_A_DECADE) / min(1.0, r["chars"] / r["n"] / mean), r["n"]) for r in rows)
     limit = below = 0
     for edge, n in cells:
         below += n

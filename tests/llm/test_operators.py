@@ -334,6 +334,18 @@ def test_randomness_battery(spark):
     assert next(r for r in got if r["n_random"])["spans"] == f"random:{place[0]}:{place[1]}"
 
 
+def test_long_random_strings_among_structured_ones(spark):
+    rng = np.random.default_rng(2)
+    b64 = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
+    keys = ["".join(rng.choice(b64, n)) for n in (100, 200, 500, 1000, 1700, 2000) for _ in range(10)]
+    dull = [f"chapter-{i}-chapter-section-aaaa-{i}" for i in range(540)]
+    rows = spark.createDataFrame([(i, f"see {t} here") for i, t in enumerate(keys + dull)], "doc_id long, text string")
+    got = by_id(secret_scan.digest(rows))
+    found = [sum(r["n_random"] for r in got[k : k + 10]) for k in range(0, len(keys), 10)]
+    assert min(found) >= 8 and sum(found) >= 0.9 * len(keys)
+    assert sum(r["n_random"] for r in got[len(keys) :]) == 0
+
+
 def test_packing(docs, empty):
     full = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     got = packing.pack(packing.token_pieces(docs)).collect()
