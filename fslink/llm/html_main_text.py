@@ -3,11 +3,13 @@
 A forgiving tokenizer builds a tree of elements (void elements, unclosed paragraphs and cells, raw
 text of scripts and styles, comments).  Parts that never hold the article go: scripts, styles,
 menus, headers, footers, sidebars, forms, notices, adverts and reader comments, known by element,
-role, or the words in class and id.  Every paragraph then passes points, one plus its commas plus
+role, or the words in class and id.  Words of class and id spare a part that also bears a name of
+the article or holds most of the page's unlinked text; a page of which they leave nothing, or next
+to nothing, is read again without them.  Every paragraph then passes points, one plus its commas plus
 one per hundred characters up to three, to its parent in full, to its grandparent by half and to
 further ancestors by less; a container's points are discounted by its link density.  The best
-container is kept, with those of its siblings whose points come near its own or that are
-themselves long paragraphs of few links.  Its text is returned block by block.
+container is kept, with those of its siblings whose points come near its own or whose text has few
+links.  Its text is returned block by block.
 
 Character references are decoded; white space within a block becomes one space; blocks are joined
 by an empty line.  Defined results: a null or empty page, or one of no text, gives the empty string;
@@ -40,6 +42,15 @@ AWAY = frozenset(
     "comment comments reply replies respond discussion disqus feedback review-list login search skip toc tags tagcloud".split()
 )
 TOWARD = frozenset("article content main post entry story body text page column".split())
+# Whole classes that name the article whatever its share of the page; words of readers' remarks, which may outweigh it.
+NAMES = frozenset("article content main post entry story".split())
+READERS = frozenset("comment comments reply replies respond discussion disqus".split())
+# A class that begins with one of these tells what stands beside the part: has-sidebar.
+BESIDE = frozenset("has have no with without".split())
+# Shares of the page's unlinked text that spare a part: alone, and with a word of TOWARD.
+SHARE_ALONE, SHARE_NAMED = 2 / 3, 1 / 4
+# Characters under which a page is read again, and how many times as many a second reading must give.
+SCANT, FAR_MORE = 140, 4
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</[a-zA-Z][^>]*(?:>|\Z)|<[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<[a-zA-Z][^>]*(?:>|\Z)", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
@@ -124,14 +135,32 @@ def _tokens(node: Node) -> list[str]:
 
 
 def away(node: Node) -> bool:
-    """Whether a part never belongs to the article."""
+    """Whether a part never belongs to the article, by its element, role or being hidden."""
     if node.tag in DROPPED or "hidden" in node.attributes or node.attributes.get("role", "").lower() in ROLES:
         return True
-    if node.tag in ("body", "html", "article", "main"):
-        return False
-    if node.tag == "header" and not _inside(node, "article"):
-        return True
-    return any(x in AWAY for x in _tokens(node))
+    return node.tag == "header" and not _inside(node, "article")
+
+
+def named_away(node: Node, words: frozenset[str]) -> set[str]:
+    """The words of class and id that say that a part isn't the article."""
+    if node.tag in ("body", "html", "article", "main") or not node.attributes:
+        return set()
+    found = set()
+    for key in ("class", "id"):
+        for word in node.attributes.get(key, "").split():
+            parts = [x.lower() for x in _CAMEL.split(word) if x]
+            if not (parts and parts[0] in BESIDE):
+                found |= words.intersection([word.lower(), *parts])
+    return found
+
+
+def spared(node: Node, found: set[str], share: float) -> bool:
+    """Whether a part of such words may be the article all the same, by its other words and its
+    share of the page's unlinked text."""
+    whole = {x.lower() for key in ("class", "id") for x in node.attributes.get(key, "").split()}
+    if found & READERS:
+        return share >= SHARE_ALONE and bool(whole & TOWARD)
+    return bool(whole & NAMES) or share >= SHARE_ALONE or (share >= SHARE_NAMED and any(x in TOWARD for x in _tokens(node)))
 
 
 def _inside(node: Node, tag: str) -> bool:
@@ -141,12 +170,26 @@ def _inside(node: Node, tag: str) -> bool:
     return False
 
 
-def prune(top: Node) -> None:
-    """Takes all parts away that never belong to the article."""
-    work = [top]
+def prune(top: Node, words: frozenset[str] = AWAY) -> None:
+    """Takes all parts away that never belong to the article, or that ``words`` in class and id
+    name and nothing spares."""
+    work, named = [top], {}
     while work:
         node = work.pop()
         node.children = [c for c in node.children if isinstance(c, str) or not away(c)]
+        for c in node.children:
+            if not isinstance(c, str):
+                work.append(c)
+                if found := named_away(c, words):
+                    named[c] = found
+    if not named:
+        return
+    known = measure(top)
+    total = max(1, known[top][0] - known[top][1])
+    work = [top]
+    while work:
+        node = work.pop()
+        node.children = [c for c in node.children if isinstance(c, str) or c not in named or spared(c, named[c], (known[c][0] - known[c][1]) / total)]
         work += [c for c in node.children if not isinstance(c, str)]
 
 
@@ -211,7 +254,7 @@ def best_parts(top: Node) -> list[Node]:
             continue
         chars, links, _, _ = known[c]
         density = links / max(1, chars)
-        if c is best or (c.points and worth(c) >= limit) or (c.tag in ("p", "h1", "h2", "h3", "h4", "blockquote", "pre") and (chars > 80 and density < 0.25 or 0 < chars <= 80 and density == 0)):
+        if c is best or (c.points and worth(c) >= limit) or chars > 80 and density < 0.25 or 0 < chars <= 80 and density == 0:
             parts.append(c)
     return parts
 
@@ -245,13 +288,24 @@ def blocks(parts: list[Node]) -> list[str]:
     return out
 
 
+def _text(page: str, words: frozenset[str]) -> str:
+    top = parse(page)
+    prune(top, words)
+    return "\n\n".join(blocks(best_parts(top)))
+
+
 def main_text(page: str | None) -> str:
     """The page's article, its blocks joined by an empty line."""
     if not page:
         return ""
-    top = parse(page)
-    prune(top)
-    return "\n\n".join(blocks(best_parts(top)))
+    text = first = _text(page, AWAY)
+    # Readers' remarks are taken for the article only where nothing else was left.
+    for words in (READERS,) if first else (READERS, frozenset()):
+        if len(text) < SCANT:
+            again = _text(page, words)
+            if len(again) > FAR_MORE * len(text):
+                text = again
+    return text
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -250,6 +250,31 @@ def test_main_text():
     assert html_main_text.main_text(deep) == "deep, text"
 
 
+LONG_P = "<p>" + "The river rose, the town slept, and nobody saw the water come. " * 5 + "</p>"
+SAID = "\n\n".join(["The river rose, the town slept, and nobody saw the water come. " * 4 + "The river rose, the town slept, and nobody saw the water come."] * 3)
+
+
+@pytest.mark.parametrize("about", ['class="content has-sidebar"', 'class="no-sidebar"', 'class="post-header"', 'class="entry social"', 'id="feedback-story"', 'class="comments-open"'])
+def test_words_in_class_and_id_do_not_lose_the_article(about):
+    page = f'<body><div class="sidebar"><p>Old news.</p></div><div {about}>{LONG_P * 3}<div class="comments"><p>Nice, I agree.</p></div></div><div class="footer">Imprint</div></body>'
+    if "comments" in about:
+        assert SAID in html_main_text.main_text(page)
+    else:
+        assert html_main_text.main_text(page) == SAID
+
+
+def test_boilerplate_still_goes():
+    reader = '<div class="comment-body">' + LONG_P + "</div>"
+    page = f'<body><div class="content">{LONG_P * 3}</div><div id="comments">{reader * 9}</div><div class="column sidebar"><p>Old news, and older.</p></div></body>'
+    assert html_main_text.main_text(page) == SAID
+
+
+@pytest.mark.parametrize("end, want", [("<div><p>So it ended.</p></div>", "So it ended."), ("<ul><li>one boat<li>two carts</ul>", "one boat\n\ntwo carts"), ("<table><tr><td>dead<td>none</table>", "dead\n\nnone")])
+def test_short_parts_beside_a_long_one_stay(end, want):
+    page = f"<body><div><div>{LONG_P * 3}</div>{end}<div><a href=home>Elsewhere on this site</a></div></div></body>"
+    assert html_main_text.main_text(page) == f"{SAID}\n\n{want}"
+
+
 def test_main_text_table(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a, b</p>"), (2, None, None), (1, "u", "<p>a, b</p>")], "page_id long, url string, html string").withColumn("text", F.lit(1))
     got = sorted((r.page_id, r.text, r.n_chars) for r in html_main_text.extract(pages).collect())
