@@ -46,10 +46,11 @@ def bucket(term: Column, dim: int = 512, seed: int = 0) -> Column:
 def term_counts(docs: DataFrame, id: str, text: str, dim: int = 512, seed: int = 0, low: int = 1, high: int = 2) -> DataFrame:
     """(id, bucket, tf): how many terms of each document fall into each bucket.
 
-    Each distinct term of a document is hashed once: terms are counted before they are hashed.
+    Terms are hashed where they are read: what is shuffled is at most dim counts a document, never
+    the terms.
     """
-    terms = docs.select(id, F.explode(ngrams(tokens(F.col(text)), low, high)).alias("term")).groupBy(id, "term").agg(F.count("*").alias("n"))
-    return terms.select(id, bucket(F.col("term"), dim, seed).alias("bucket"), "n").groupBy(id, "bucket").agg(F.sum("n").alias("tf"))
+    terms = docs.select(id, F.explode(ngrams(tokens(F.col(text)), low, high)).alias("term"))
+    return terms.select(id, bucket(F.col("term"), dim, seed).alias("bucket")).groupBy(id, "bucket").agg(F.count("*").alias("tf"))
 
 
 def idf(counts: DataFrame, n_docs: DataFrame, id: str, max_df: float = 1.0) -> DataFrame:

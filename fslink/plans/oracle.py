@@ -93,6 +93,9 @@ TOKENS = "regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')"
 FNV = "list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split(term, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda h, c: (xor(h, c) * 16777619) & 4294967295)"
 COUNTS = f"terms AS (SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest({TOKENS}) AS term FROM documents) GROUP BY 1, 2), hashed AS (SELECT term, {FNV} % 512 AS bucket FROM (SELECT DISTINCT term FROM terms)), counts AS (SELECT doc_id, bucket, CAST(sum(n) AS BIGINT) AS tf FROM terms JOIN hashed USING (term) GROUP BY 1, 2), idf AS (SELECT bucket, count(DISTINCT doc_id) AS df, CASE WHEN count(DISTINCT doc_id) / (SELECT count(*) FROM documents) > 0.9 THEN 0.0 ELSE ln(((SELECT count(*) FROM documents) + 1) / (count(DISTINCT doc_id) + 1)) + 1 END AS idf FROM counts GROUP BY bucket)"
 TFIDF = f"{COUNTS}, raw AS (SELECT doc_id, bucket, (1 + ln(tf)) * idf AS w FROM counts JOIN idf USING (bucket)), len AS (SELECT doc_id, sqrt(sum(w * w)) AS length FROM raw GROUP BY doc_id), tfidf AS (SELECT doc_id, bucket, CASE WHEN length > 0 THEN w / length ELSE 0.0 END AS weight FROM raw JOIN len USING (doc_id))"
+# The same over n-grams of one and two words.
+GRAMS = f"(SELECT doc_id, unnest(list_concat(w, CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: w[i] || '_' || w[i + 1]) ELSE [] END)) AS term FROM (SELECT doc_id, {TOKENS} AS w FROM documents))"
+TFIDF_GRAMS = TFIDF.replace(f"(SELECT doc_id, unnest({TOKENS}) AS term FROM documents)", GRAMS)
 BAND = "CASE WHEN h >= 22 OR h < 4 THEN 'night' WHEN h < 7 THEN 'early_morning' ELSE 'day' END"
 EXPECTED = "expected AS (SELECT cls, value, 1 / 3 AS p FROM (VALUES ('1-URGENT'), ('2-HIGH'), ('3-MEDIUM'), ('4-NOT SPECIFIED'), ('5-LOW')) a(cls), (VALUES ('O'), ('F'), ('P')) b(value)), realised AS (SELECT e.cls, e.value, count(c.id) AS n, count(c.id) / t.total AS observed, e.p AS expected, t.total FROM expected e JOIN (SELECT cls, count(status) AS total FROM cases GROUP BY cls) t USING (cls) LEFT JOIN cases c ON c.cls = e.cls AND c.status = e.value GROUP BY e.cls, e.value, e.p, t.total)"
 
@@ -128,6 +131,8 @@ ORACLES: dict[str, str] = {
     "fnv_buckets": f"SELECT term, {FNV} AS hash, {FNV} % 512 AS bucket FROM (SELECT DISTINCT unnest({TOKENS}) AS term FROM documents)",
     "idf": f"WITH {COUNTS} SELECT bucket, df, round(idf, 6) AS idf FROM idf",
     "tfidf_weights": f"WITH {TFIDF} SELECT doc_id, bucket, round(weight, 6) AS weight FROM tfidf",
+    "idf_ngrams": f"WITH {TFIDF_GRAMS} SELECT bucket, df, round(idf, 6) AS idf FROM idf",
+    "tfidf_weights_ngrams": f"WITH {TFIDF_GRAMS} SELECT doc_id, bucket, round(weight, 6) AS weight FROM tfidf",
     "vector_topk": f"WITH {NEAR} SELECT case_id, partner_id, sim, retrieval_rank FROM near",
     "links": f"{LINKS} SELECT case_id, partner_id, rank, total_bits, round(prior_bits, 6) AS prior_bits, pair_class FROM links",
     "links_with_contributions": f"{LINKS} SELECT l.case_id, l.partner_id, coalesce(string_agg(c.field, ',' ORDER BY abs(round(c.bits, 6)) DESC, c.field), '') AS fields FROM links l LEFT JOIN con c ON c.id_a = l.case_id AND c.id_b = l.partner_id GROUP BY l.case_id, l.partner_id",

@@ -232,8 +232,8 @@ def fnv_buckets(spark, d):
     return terms.select("term", X.fnv1a(F.col("term")).alias("hash"), X.bucket(F.col("term")).alias("bucket"))
 
 
-def _counts(spark, d):
-    return X.term_counts(table(spark, d, "documents"), "doc_id", "text", high=1)
+def _counts(spark, d, high=2):
+    return X.term_counts(table(spark, d, "documents"), "doc_id", "text", high=high)
 
 
 def _idf(spark, d, counts):
@@ -242,13 +242,26 @@ def _idf(spark, d, counts):
 
 @query
 def idf(spark, d):
+    return _idf(spark, d, _counts(spark, d, 1)).select("bucket", "df", _r("idf"))
+
+
+@query
+def idf_ngrams(spark, d):
     return _idf(spark, d, _counts(spark, d)).select("bucket", "df", _r("idf"))
 
 
+def _weights(spark, d, counts):
+    return X.tfidf(counts, _idf(spark, d, counts), "doc_id", True).select("doc_id", "bucket", _r("weight"))
+
+
 @query
 def tfidf_weights(spark, d):
-    counts = _counts(spark, d)
-    return X.tfidf(counts, _idf(spark, d, counts), "doc_id", True).select("doc_id", "bucket", _r("weight"))
+    return _weights(spark, d, _counts(spark, d, 1))
+
+
+@query
+def tfidf_weights_ngrams(spark, d):
+    return _weights(spark, d, _counts(spark, d))
 
 
 @query

@@ -13,6 +13,7 @@ from fslink.operators import frequencies as Q
 from fslink.operators import graph, knn, metrics, model
 from fslink.operators import scoring as S
 from fslink.operators import statistics as T
+from fslink.plans.queries import QUERIES
 from fslink.sources import files, tables
 from fslink.spec import EXT, TAGS, FieldSpec, LinkageSpec
 
@@ -106,6 +107,35 @@ def test_text_functions(spark):
     assert sum(x * x for x in vectors[1]) == pytest.approx(1) and sum(x * x for x in vectors[2]) == pytest.approx(1) and not any(vectors[3])
 
 
+def test_registered_text_vectors_use_one_and_two_words(spark, tmp_path):
+    texts = {1: "the roof was wet", 2: "wet was the roof", 3: "roof the wet was", 4: "the roof was dry", 5: "", 6: None, 7: "roof"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def hashed(term):
+        h = 2166136261
+        for c in term.encode():
+            h = (h ^ c) * 16777619 % 2**32
+        return h % 512
+
+    tf = np.zeros((8, 512))
+    for doc, text in texts.items():
+        words = (text or "").split()
+        for term in [*words, *("_".join(x) for x in zip(words, words[1:]))]:
+            tf[doc, hashed(term)] += 1
+    df = (tf > 0).sum(0)
+    idf = np.where(df / 7 > 0.9, 0.0, np.log(8 / (df + 1)) + 1)
+    w = np.where(tf > 0, 1 + np.log(np.maximum(tf, 1)), 0) * idf
+    length = np.linalg.norm(w, axis=1, keepdims=True)
+    w = w / np.where(length > 0, length, 1)
+    found = {r.bucket: (r.df, r.idf) for r in QUERIES["idf_ngrams"](spark, str(tmp_path)).collect()}
+    assert found.keys() == set(np.flatnonzero(df)) and all(found[b] == (df[b], pytest.approx(idf[b], abs=1e-6)) for b in found)
+    weights = {(r.doc_id, r.bucket): r.weight for r in QUERIES["tfidf_weights_ngrams"](spark, str(tmp_path)).collect()}
+    assert weights.keys() == {(a, b) for a, b in zip(*np.nonzero(tf))} and all(weights[k] == pytest.approx(w[k], abs=1e-6) for k in weights)
+    near = {(r.case_id, r.partner_id): r.sim for r in QUERIES["text_topk"](spark, str(tmp_path)).collect()}
+    assert len(near) == 42 and all(near[a, b] == pytest.approx(w[a] @ w[b], abs=1e-4) for a, b in near)
+    assert near[1, 2] < 0.9  # the same words in another order
+
+
 def test_neighbours_are_exact_on_every_path(spark, monkeypatch):
     rng = np.random.default_rng(4)
     v = rng.normal(size=(60, 8))
