@@ -12,7 +12,9 @@ container is kept, with those of its siblings whose points come near its own or
 links.  Its text is returned block by block.
 
 Character references are decoded; white space within a block becomes one space; blocks are joined
-by an empty line.  Defined results: a null or empty page, or one of no text, gives the empty string;
+by an empty line.  A page's time and memory are in proportion to its length, however deep its
+elements nest and however many end tags match nothing: about 400 bytes an element and one page at a
+time in a task.  Defined results: a null or empty page, or one of no text, gives the empty string;
 repeated rows give the same text; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -47,6 +49,8 @@ NAMES = frozenset("article content main post entry story".split())
 READERS = frozenset("comment comments reply replies respond discussion disqus".split())
 # A class that begins with one of these tells what stands beside the part: has-sidebar.
 BESIDE = frozenset("has have no with without".split())
+# Words that only say that a part stands at the head of another.
+HEADS = frozenset("header masthead banner".split())
 # Shares of the page's unlinked text that spare a part: alone, and with a word of TOWARD.
 SHARE_ALONE, SHARE_NAMED = 2 / 3, 1 / 4
 # Characters under which a page is read again, and how many times as many a second reading must give.
@@ -54,8 +58,9 @@ SCANT, FAR_MORE = 140, 4
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</[a-zA-Z][^>]*(?:>|\Z)|<[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<[a-zA-Z][^>]*(?:>|\Z)", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
-_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+))", re.S)
-_HIDDEN = re.compile(r"\s(?:hidden|aria-hidden\s*=\s*[\"']?true)(?=[\s/>=])|display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?", re.S)
+_UNSEEN = re.compile(r"display\s*:\s*none", re.I)
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I | re.A) for tag in RAW}
 _SPACE = re.compile(r"\s+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])|[^A-Za-z]+")
 
@@ -67,62 +72,83 @@ class Node:
         self.tag, self.parent, self.children, self.attributes, self.points = tag, parent, [], attributes or {}, 0.0
 
 
+class _Open:
+    """The open elements, outermost first, with the depths at which each tag and any block is open;
+    so an end tag costs no walk, however deep the page."""
+
+    def __init__(self, top: Node):
+        self.nodes, self.depths, self.blocks = [top], {}, []
+
+    def push(self, node: Node) -> None:
+        self.depths.setdefault(node.tag, []).append(len(self.nodes))
+        if node.tag in BLOCK:
+            self.blocks.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def close(self, depth: int) -> None:
+        """Closes the element at ``depth`` and all within it."""
+        while len(self.nodes) > depth:
+            node = self.nodes.pop()
+            self.depths[node.tag].pop()
+            if node.tag in BLOCK:
+                self.blocks.pop()
+
+    def deepest(self, tags: Iterable[str]) -> int:
+        """The depth of the innermost open element of these tags; 0 if there is none."""
+        return max((d[-1] for tag in tags if (d := self.depths.get(tag))), default=0)
+
+
+def _attributes(mark: str, start: int) -> dict[str, str]:
+    found = {}
+    for m in _ATTRIBUTE.finditer(mark, start):
+        found.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
+    return found
+
+
 def parse(page: str) -> Node:
     """The page's tree; a child is a Node or a decoded string."""
-    top = here = Node("#top", None)
+    top = Node("#top", None)
+    open_ = _Open(top)
     at = 0
-    lower = None
     while True:
         found = _TOKEN.search(page, at)
         text = page[at : found.start()] if found else page[at:]
         if text:
-            here.children.append(html.unescape(text))
+            open_.nodes[-1].children.append(html.unescape(text))
         if not found:
             return top
         at = found.end()
         mark = found[0]
         if mark[1] in "!?":
             if mark.startswith("<![CDATA["):
-                here.children.append(mark[9:].removesuffix("]]>"))
+                open_.nodes[-1].children.append(mark[9:].removesuffix("]]>"))
             continue
-        tag = _NAME.match(mark)[1].lower()
+        name = _NAME.match(mark)
+        tag = name[1].lower()
         if mark[1] == "/":
-            node = here
-            while node is not top and node.tag != tag:
-                node = node.parent
-            if node is not top:
-                here = node.parent
+            if depth := open_.deepest((tag,)):
+                open_.close(depth)
             elif tag == "br":
-                here.children.append(Node("br", here))
+                open_.nodes[-1].children.append(Node("br", open_.nodes[-1]))
             continue
-        attributes = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(mark)} if "=" in mark else {}
-        if "=" in mark or "hidden" in mark:
-            if _HIDDEN.search(mark):
-                attributes["hidden"] = "1"
         if tag in CLOSES_P:
-            node = here
-            while node is not top and node.tag not in BLOCK:
-                node = node.parent
-            if node.tag == "p":
-                here = node.parent
+            if open_.blocks and open_.nodes[open_.blocks[-1]].tag == "p":
+                open_.close(open_.blocks[-1])
         elif tag in SELF_NESTING:
-            node = here
-            while node is not top and node.tag not in SELF_NESTING[tag] and node.tag not in ALIKE.get(tag, {tag}):
-                node = node.parent
-            if node is not top and node.tag not in SELF_NESTING[tag]:
-                here = node.parent
-        made = Node(tag, here, attributes)
+            depth = open_.deepest(ALIKE.get(tag, (tag,)))
+            if depth > open_.deepest(SELF_NESTING[tag]):
+                open_.close(depth)
+        here = open_.nodes[-1]
+        made = Node(tag, here, _attributes(mark, name.end()) if len(mark) > name.end() + 1 else None)
         here.children.append(made)
         if tag in VOID or mark.endswith("/>") and tag not in RAW and tag not in BLOCK:
             continue
         if tag in RAW:
-            lower = lower or page.lower()
-            end = lower.find(f"</{tag}", at)
-            at = len(page) if end < 0 else end
-            close = page.find(">", at)
+            end = _RAW_END[tag].search(page, at)
+            close = page.find(">", end.end()) if end else -1
             at = len(page) if close < 0 else close + 1
             continue
-        here = made
+        open_.push(made)
 
 
 def _tokens(node: Node) -> list[str]:
@@ -134,11 +160,12 @@ def _tokens(node: Node) -> list[str]:
     return found
 
 
-def away(node: Node) -> bool:
+def away(node: Node, in_article: bool) -> bool:
     """Whether a part never belongs to the article, by its element, role or being hidden."""
-    if node.tag in DROPPED or "hidden" in node.attributes or node.attributes.get("role", "").lower() in ROLES:
+    own = node.attributes
+    if node.tag in DROPPED or node.tag == "header" and not in_article:
         return True
-    return node.tag == "header" and not _inside(node, "article")
+    return bool(own) and ("hidden" in own or own.get("aria-hidden", "").lower() == "true" or own.get("role", "").lower() in ROLES or _UNSEEN.search(own.get("style", "")) is not None)
 
 
 def named_away(node: Node, words: frozenset[str]) -> set[str]:
@@ -149,8 +176,12 @@ def named_away(node: Node, words: frozenset[str]) -> set[str]:
     for key in ("class", "id"):
         for word in node.attributes.get(key, "").split():
             parts = [x.lower() for x in _CAMEL.split(word) if x]
-            if not (parts and parts[0] in BESIDE):
-                found |= words.intersection([word.lower(), *parts])
+            if parts and parts[0] in BESIDE:
+                continue
+            told = words.intersection([word.lower(), *parts])
+            # entry-header holds the article's headline.
+            if not (told <= HEADS and NAMES.intersection(parts)):
+                found |= told
     return found
 
 
@@ -163,23 +194,17 @@ def spared(node: Node, found: set[str], share: float) -> bool:
     return bool(whole & NAMES) or share >= SHARE_ALONE or (share >= SHARE_NAMED and any(x in TOWARD for x in _tokens(node)))
 
 
-def _inside(node: Node, tag: str) -> bool:
-    while node := node.parent:
-        if node.tag == tag:
-            return True
-    return False
-
-
 def prune(top: Node, words: frozenset[str] = AWAY) -> None:
     """Takes all parts away that never belong to the article, or that ``words`` in class and id
     name and nothing spares."""
-    work, named = [top], {}
+    work, named = [(top, False)], {}
     while work:
-        node = work.pop()
-        node.children = [c for c in node.children if isinstance(c, str) or not away(c)]
+        node, in_article = work.pop()
+        in_article |= node.tag == "article"
+        node.children = [c for c in node.children if isinstance(c, str) or not away(c, in_article)]
         for c in node.children:
             if not isinstance(c, str):
-                work.append(c)
+                work.append((c, in_article))
                 if found := named_away(c, words):
                     named[c] = found
     if not named:
@@ -288,21 +313,24 @@ def blocks(parts: list[Node]) -> list[str]:
     return out
 
 
-def _text(page: str, words: frozenset[str]) -> str:
+def _text(page: str, words: frozenset[str]) -> tuple[str, bool]:
+    """The text of the best parts, and whether they are or lie in an article or main element."""
     top = parse(page)
     prune(top, words)
-    return "\n\n".join(blocks(best_parts(top)))
+    parts = best_parts(top)
+    return "\n\n".join(blocks(parts)), any(x.tag in ("article", "main") for x in parts)
 
 
 def main_text(page: str | None) -> str:
     """The page's article, its blocks joined by an empty line."""
     if not page:
         return ""
-    text = first = _text(page, AWAY)
+    text, sure = _text(page, AWAY)
+    first = text
     # Readers' remarks are taken for the article only where nothing else was left.
     for words in (READERS,) if first else (READERS, frozenset()):
-        if len(text) < SCANT:
-            again = _text(page, words)
+        if not text or (len(text) < SCANT and not sure):
+            again, _ = _text(page, words)
             if len(again) > FAR_MORE * len(text):
                 text = again
     return text
