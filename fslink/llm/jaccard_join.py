@@ -2,17 +2,24 @@
 
 1.  Every document's distinct runs of five words are hashed; ``HASHES`` MinHash values (16 bits
     each) sketch the set.  Documents of the same words are one text from here on.
-2.  Texts that agree on all ``ROWS`` values of one of ``BANDS`` bands share a bucket.  Buckets with
-    more than one text are joined with the sketches, large ones in blocks.  Pairs in a bucket compare
+2.  Texts that agree on all ``ROWS`` values of one of ``BANDS`` bands share a bucket.  Pairs in a bucket compare
     their MinHash values a step at a time; a pair is dropped as soon as the posterior chance that
     its similarity reaches the threshold falls below ``TOLERANCE`` (uniform prior: the chance that a
     binomial variable of n + 1 trials is at most the s matches so far).  What survives links texts
-    into candidate groups; only a spanning forest of them is written, never all pairs.
-3.  Each candidate group's texts come together with their shingles, in blocks if the group is large.
+    into candidate groups; only a spanning forest of them is written, never all pairs.  In a bucket
+    of more than ``BUCKET_BLOCK`` texts all meet the bucket's first text; those that survive are linked
+    already and need not meet each other, only those that don't, in blocks.
+3.  Each candidate group's texts come together with their shingles.
     Every pair is pruned in the same way and the rest verified by exact intersection.  A block
-    reports counts of links per text and a spanning forest.
+    reports counts of links per text and a spanning forest.  In a group of more than ``GROUP_BLOCK``
+    texts a centre is formed, the shingles that most of a sample of its texts have.  Jaccard distance is
+    a metric, so two texts within half the greatest distance of the centre are linked for sure:
+    they are counted without meeting.  The others meet everyone, in blocks.
 4.  Connected components of the verified links give the classes.
 
+So a group of near copies costs time in proportion to its size, but for those of its texts that lie
+far from its centre; each of these is compared with the whole group, as exact counts of links demand.
+
 A pair of similarity 0.8 is missed by all bands with a chance below 1e-4, less for closer pairs.
 Texts are known by a 64-bit hash of their words; two of a billion different texts share one with a
 chance of about 3 %.
@@ -45,6 +52,10 @@ STEPS = (20, 40, 80, 120)
 TOLERANCE = 1e-4
 BUCKET_BLOCK = 256
 GROUP_BLOCK = 128
+#: Texts of a large group that its centre is formed of, about; any set serves, a good one saves time.
+CENTRE_SAMPLE = 32
+#: Rows of one bucket or group that a task joins with the facts about it, about.
+SALT_ROWS = 4096
 #: Pairs verified one by one; more in a block are counted by matrix products.
 SINGLE_PAIRS = 64
 COLUMNS = 2048
@@ -297,15 +308,71 @@ def components(edges: DataFrame) -> DataFrame:
     return label
 
 
-def _in_blocks(rows: DataFrame, size: str, block: int, *keys: str) -> DataFrame:
-    """Deals each group of ``size`` rows into blocks and gives each row to all pairs of blocks that
-    have its own; adds low, high and block."""
-    number = F.ceil(F.col(size) / block).cast("int")
-    own = F.pmod(F.xxhash64("node"), F.col("number")).cast("int")
-    dealt = rows.withColumn("number", number).withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("number") - 1)))
+def _near_leader(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, members, node, leader, sketch, leader_sketch): whether each text survives
+    beside its bucket's leader."""
+    for batch in batches:
+        n = batch.num_rows
+        if n:
+            both = np.concatenate([_matrix(batch.column(4)), _matrix(batch.column(5))])
+            tight = survivors(both, np.arange(n), np.arange(n, 2 * n))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(tight)], names=["bucket", "members", "node", "leader", "sketch", "tight"])
+
+
+def _centres(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (cluster, members, shingles), sorted: per cluster the shingles of more than half of them."""
+    for rows in _whole_groups(batches, 1):
+        heads = np.append(_heads(rows, 1), rows.num_rows)
+        made = []
+        for first, last in zip(heads[:-1], heads[1:]):
+            value, times = np.unique(np.frombuffer(b"".join(rows.column(2).slice(first, last - first).to_pylist()), dtype=np.uint64), return_counts=True)
+            made.append(value[2 * times > last - first].tobytes())
+        yield pa.RecordBatch.from_arrays([rows.column(0).take(heads[:-1]), rows.column(1).take(heads[:-1]), pa.array(made, pa.binary())], names=["cluster", "members", "centre"])
+
+
+def _near_centre(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (cluster, members, node, copies, sketch, shingles, centre): whether each text lies within
+    half the greatest distance of a link from the centre."""
+    up, down = THRESHOLD
+    for batch in batches:
+        tight = []
+        for own, centre in zip(batch.column(5).to_pylist(), batch.column(6).to_pylist()):
+            a, b = np.frombuffer(own, dtype=np.uint64), np.frombuffer(centre or b"", dtype=np.uint64)
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            union = len(a) + len(b) - both
+            tight.append(2 * down * (union - both) <= (down - up) * union)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(tight, pa.bool_())], names=["cluster", "members", "node", "copies", "sketch", "shingles", "tight"])
+
+
+def _beside(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """Gives each row (key, members, node, ...) the facts (key, members, ...) of its key, or nulls;
+    the rows of a large key are spread over several tasks."""
+    salts = F.ceil(F.col("members") / SALT_ROWS).cast("int")
+    spread = facts.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("members")
+    return rows.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(3)), salts).cast("int")).join(spread, [key, "salt"], "left").drop("salt")
+
+
+def _in_blocks(rows: DataFrame, key: str, block: int) -> DataFrame:
+    """Deals the rows (key, members, node, tight, ...) of each key into blocks, the loose ones first, and
+    gives each row to all pairs of blocks that have its own, but for two blocks of tight rows; adds low, high
+    and block.  A tight row is copied once per block of loose ones."""
+    counts = rows.groupBy(key).agg(F.first("members").alias("members"), F.sum(F.col("tight").cast("long")).alias("n_tight"), F.count_if(~F.col("tight")).alias("n_loose")).where("n_loose > 0")
+    loose, all_ = F.ceil(F.col("n_loose") / block).cast("int"), F.ceil(F.col("n_loose") / block).cast("int") + F.ceil(F.col("n_tight") / block).cast("int")
+    number = F.when(F.col("tight"), all_ - loose).otherwise(loose)
+    own = F.pmod(F.xxhash64("node"), number).cast("int") + F.when(F.col("tight"), loose).otherwise(F.lit(0))
+    others = F.sequence(F.lit(0), F.when(F.col("tight"), loose).otherwise(all_) - 1)
+    dealt = _beside(rows, counts, key).where("n_loose is not null").withColumn("block", own).withColumn("other", F.explode(others))
     return dealt.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
 
 
+def _one_block(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({c: F.lit(0) for c in ("low", "high", "block")})
+
+
+def _any(df: DataFrame) -> bool:
+    return df.limit(1).count() > 0
+
+
 def _dealt(rows: DataFrame, key: str) -> DataFrame:
     return rows.repartition(key, "low", "high").sortWithinPartitions(key, "low", "high", "node")
 
@@ -314,6 +381,64 @@ def _band(sketch: str, k: Column) -> Column:
     return F.xxhash64(F.substring(sketch, k * (2 * ROWS) + 1, F.lit(2 * ROWS)), k)
 
 
+def _candidate_links(texts: DataFrame) -> DataFrame:
+    """Links (a, b) that join the texts (node, sketch) into candidate groups."""
+    bands = texts.select("node", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("k"), "sketch").select("node", _band("sketch", F.col("k")).alias("bucket"))
+    sizes = bands.groupBy("bucket").agg(F.count("*").alias("members"), F.min("node").alias("leader")).where("members > 1")
+    crowded = cut(bands.join(sizes, "bucket"), "buckets")
+    sketches = texts.select("node", "sketch")
+    fields = ["bucket", "low", "high", "block", "node", "sketch"]
+    rows = _one_block(crowded.where(F.col("members") <= BUCKET_BLOCK).join(sketches, "node")).select(*fields)
+    large = crowded.where(F.col("members") > BUCKET_BLOCK)
+    stars = None
+    if _any(large):
+        leaders = large.select("bucket", "members", "leader").distinct().join(sketches.toDF("leader", "leader_sketch"), "leader").drop("leader")
+        met = _beside(large.join(sketches, "node"), leaders, "bucket").select("bucket", "members", "node", "leader", "sketch", "leader_sketch")
+        met = cut(met.mapInArrow(_near_leader, "bucket long, members long, node long, leader long, sketch binary, tight boolean"), "led")
+        stars = met.where("tight and node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
+        rows = rows.union(_in_blocks(met, "bucket", BUCKET_BLOCK).select(*fields))
+    pairs = _dealt(rows, "bucket").mapInArrow(_candidates, "a long, b long")
+    return pairs.union(stars) if stars is not None else pairs
+
+
+def _with_shingles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (cluster, members, node, copies, sketch, text) with the text's shingles for the text."""
+    for batch in batches:
+        at = 0
+        for _, offsets, value in shingles(batch.column(5)):
+            n, flat = len(offsets) - 1, value.tobytes()
+            made = pa.array([flat[8 * a : 8 * b] for a, b in zip(offsets[:-1], offsets[1:])], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(at, n) for k in range(5)), made], names=["cluster", "members", "node", "copies", "sketch", "shingles"])
+            at += n
+
+
+def _verified_links(sized: DataFrame, base: DataFrame) -> DataFrame:
+    """(node, links, root): per text of a candidate group, parts of its number of links and of a
+    spanning forest of them.  ``sized`` has the texts' first rows, ``base`` all documents."""
+    sizes = sized.groupBy("cluster").agg(F.count("*").alias("members"))
+    source = base.select(F.col("doc_id").alias("its_id"), F.xxhash64("text").alias("its_hash"), "text")
+    text = sized.join(sizes, "cluster").join(source, F.col("id").eqNullSafe(F.col("its_id")) & (F.col("hash") == F.col("its_hash")))
+    plain = "cluster long, members long, node long, copies long, sketch binary, shingles binary"
+    # A repeated row (id and text) joins once per repetition; one of each node does.
+    shown = text.select("cluster", "members", "node", "copies", "sketch", "text").mapInArrow(_with_shingles, plain).dropDuplicates(["node"])
+    fields = ["cluster", "low", "high", "block", "node", "copies", "sketch", "shingles"]
+    if not _any(sizes.where(F.col("members") > GROUP_BLOCK)):
+        return cut(_dealt(_one_block(shown).select(*fields), "cluster").mapInArrow(_verified, "node long, links long, root long"), "links")
+    shown = cut(shown, "shingles")
+    rows = _one_block(shown.where(F.col("members") <= GROUP_BLOCK)).select(*fields)
+    large = shown.where(F.col("members") > GROUP_BLOCK)
+    sample = large.where(F.pmod(F.xxhash64("node", F.lit(5)), F.floor(F.col("members") / CENTRE_SAMPLE)) == 0).select("cluster", "members", "shingles")
+    centres = sample.repartition("cluster").sortWithinPartitions("cluster").mapInArrow(_centres, "cluster long, members long, centre binary")
+    met = _beside(large, centres, "cluster").select("cluster", "members", "node", "copies", "sketch", "shingles", "centre")
+    met = cut(met.mapInArrow(_near_centre, f"{plain}, tight boolean"), "centred")
+    rows = rows.union(_in_blocks(met, "cluster", GROUP_BLOCK).select(*fields))
+    verified = _dealt(rows, "cluster").mapInArrow(_verified, "node long, links long, root long")
+    near = met.where("tight").select("cluster", "members", "node", "copies")
+    facts = near.groupBy("cluster").agg(F.first("members").alias("members"), F.sum("copies").alias("all_copies"), F.min("node").alias("root"))
+    sure = _beside(near, facts, "cluster").select("node", (F.col("all_copies") - F.col("copies")).alias("links"), "root")
+    return cut(verified.union(sure), "links")
+
+
 def rows_with_classes(docs: DataFrame) -> DataFrame:
     """Per row of documents (doc_id, text): doc_id, row_hash (of the text), node (null without
     words), root (equal within a class), copy_of (least id of its text) and n_links."""
@@ -321,32 +446,9 @@ def rows_with_classes(docs: DataFrame) -> DataFrame:
     sketched = cut(base.select("doc_id", F.xxhash64("text").alias("row_hash"), "text").mapInArrow(_sketched, "doc_id long, row_hash long, node long, sketch binary"), "sketches")
     texts = cut(sketched.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("copy_of"), F.min(F.struct("doc_id", "row_hash")).alias("first_row"), F.count("*").alias("copies"), F.first("sketch").alias("sketch")), "texts")
 
-    buckets = texts.select("node", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("k"), "sketch").select("node", _band("sketch", F.col("k")).alias("bucket"))
-    crowded = buckets.withColumn("members", F.count("*").over(Window.partitionBy("bucket"))).where("members > 1")
-    filled = _in_blocks(crowded.join(texts.select("node", "sketch"), "node"), "members", BUCKET_BLOCK)
-    pairs = _dealt(filled.select("bucket", "low", "high", "block", "node", "sketch"), "bucket").mapInArrow(_candidates, "a long, b long")
-    clusters = components(pairs)
-
+    clusters = components(_candidate_links(texts))
     sized = cut(clusters.join(texts, "node").select("node", F.col("root").alias("cluster"), "copies", "sketch", F.col("first_row.doc_id").alias("id"), F.col("first_row.row_hash").alias("hash")), "members")
-    sizes = sized.groupBy("cluster").agg(F.count("*").alias("members"))
-    wanted = sized.join(sizes, "cluster")
-    source = base.select(F.col("doc_id").alias("its_id"), F.xxhash64("text").alias("its_hash"), "text")
-    text = wanted.join(source, F.col("id").eqNullSafe(F.col("its_id")) & (F.col("hash") == F.col("its_hash")))
-    fields = "cluster long, members long, node long, copies long, sketch binary"
-
-    def with_shingles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = 0
-            for _, offsets, value in shingles(batch.column(5)):
-                n, flat = len(offsets) - 1, value.tobytes()
-                made = pa.array([flat[8 * a : 8 * b] for a, b in zip(offsets[:-1], offsets[1:])], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(at, n) for k in range(5)), made], names=["cluster", "members", "node", "copies", "sketch", "shingles"])
-                at += n
-
-    shown = text.select("cluster", "members", "node", "copies", "sketch", "text").mapInArrow(with_shingles, f"{fields}, shingles binary")
-    # A repeated row (id and text) joins once per repetition; one of each node does.
-    filled = _in_blocks(shown.dropDuplicates(["node"]), "members", GROUP_BLOCK)
-    verified = cut(_dealt(filled.select("cluster", "low", "high", "block", "node", "copies", "sketch", "shingles"), "cluster").mapInArrow(_verified, "node long, links long, root long"), "links")
+    verified = _verified_links(sized, base)
 
     roots = components(verified.select(F.col("node").alias("a"), F.col("root").alias("b")))
     counts = verified.groupBy("node").agg(F.sum("links").alias("links"))
@@ -368,11 +470,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     all its columns; documents without words stay."""
     rows = cut(rows_with_classes(docs), "rows")
     best = rows.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_hash")).alias("row"))
-    stay = best.select("row.doc_id", "row.row_hash").union(rows.where("root is null").select("doc_id", "row_hash"))
-    stay = stay.select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash"), F.lit(True).alias("_stays"))
-    stay = stay.distinct()
-    own = docs.withColumn("_own", F.xxhash64("text")).withColumn("_own_id", F.col("doc_id").cast("long"))
-    kept = own.join(stay, F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")), "left_semi")
+    stay = best.select("row.doc_id", "row.row_hash").union(rows.where("root is null").select("doc_id", "row_hash")).distinct()
+    own = docs.select(F.struct(*docs.columns).alias("doc")).select("doc", F.col("doc.doc_id").cast("long").alias("own_id"), F.xxhash64("doc.text").alias("own_hash"))
+    kept = own.join(stay, F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_hash") == F.col("row_hash")), "left_semi")
     # Of repeated rows with words one stays.
-    turn = F.row_number().over(Window.partitionBy("_own_id", "_own").orderBy("_own"))
-    return kept.withColumn("_turn", turn).where((F.col("_turn") == 1) | ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))).select(*docs.columns)
+    turn = F.row_number().over(Window.partitionBy("own_id", "own_hash").orderBy("own_hash"))
+    words_ = F.coalesce(F.col("doc.text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    return kept.withColumn("turn", turn).where((F.col("turn") == 1) | ~words_).select("doc.*")
