@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fslink.llm import gbt_quality, html_main_text, jaccard_join, line_crf, mixing, multiset_hash, packing, secret_scan, token_counts, token_frames
 from fslink.llm.common import table
+from fslink.llm.oracle import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,7 +40,8 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.withColumn("first_position", F.round(F.try_element_at("positions", F.lit(1)), 9)).drop("positions")
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,4 +72,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)

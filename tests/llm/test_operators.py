@@ -291,31 +291,6 @@ def test_token_counts(docs, empty):
     assert token_counts.counts(empty).count() == 0
 
 
-def test_targets_are_filled_by_weight():
-    assert mixing.targets([100, 100, 100], [1, 2, 3]) == pytest.approx([50, 100, 150])
-    got = mixing.targets([10, 1000, 0, 500], [3, 1, 2, 1])
-    assert got[0] == 30 and got[2] == 0 and sum(got) == pytest.approx(1510) and got[1] == pytest.approx(got[3])
-
-
-def test_mixing(docs, empty, monkeypatch):
-    monkeypatch.setattr(mixing, "BUCKET_ROWS", 2)
-    rows = mixing.mix(docs).collect()
-    assert len(rows) == len(ROWS)
-    by = {}
-    for r in rows:
-        by.setdefault(r.source, []).append(r)
-        assert r.taken <= 3 * r["size"] and all(0 <= p <= 1 for p in r.positions)
-    for source, part in by.items():
-        assert part[0].source_size == sum(r["size"] for r in part) == sum(len(WORD.findall(t or "")) for _, t, _, s in ROWS if s == source)
-        assert abs(sum(r.taken for r in part) - part[0].target) <= 1
-    again = mixing.mix(docs.repartition(7)).collect()
-    assert sorted(map(str, rows)) == sorted(map(str, again))
-    made = mixing.training_order(docs)
-    assert made.columns == docs.columns
-    assert sum(len(WORD.findall(r.text)) for r in made.collect()) == sum(r.taken for r in rows)
-    assert mixing.mix(empty).count() == 0 and mixing.training_order(empty).count() == 0
-
-
 def test_schedule_inversion(spark):
     knots = mixing.integrated(((0.0, 0.2), (0.3, 2.0), (1.0, 0.0)))
     assert knots[-1][2] == pytest.approx(1)
