@@ -35,4 +35,24 @@ SELECT doc_id, source, size, source_size, target, passes * size + extra AS taken
 FROM x
 """
 
-ORACLES: dict[str, str] = {"op4_jaccard_join": JACCARD, "op7_mixing": MIXING}
+# Words and one-bit lanes of the paragraphs' digests, summed; lanes s of words 0 and 1, then of 2 and 3.
+MULTISET = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+o AS (SELECT doc_id, text, coalesce(lead(doc_id) OVER w, first_value(doc_id) OVER w) AS next_id, coalesce(lead(text) OVER w, first_value(text) OVER w) AS after FROM d WINDOW w AS (ORDER BY doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+x AS (SELECT doc_id, next_id, text, substr(text, 1, length(text) - length(text) // 2) || substr(after, 1, length(text) // 2) AS edited FROM o),
+t AS (SELECT doc_id, 'own' AS kind, text AS t FROM x UNION ALL SELECT doc_id, 'edited', edited FROM x),
+u AS (SELECT doc_id, kind, unnest(string_split(regexp_replace(t, '([.!?]) ', '\1' || chr(10), 'g'), chr(10))) AS u FROM t),
+h AS (SELECT doc_id, kind, list_transform(range(8), lambda k: CAST('0x' || substr(sha256(u), 8 * k + 1, 8) AS BIGINT)) AS w FROM u),
+wide AS (SELECT doc_id, kind, count(*) AS n, list_transform([sum(w[1]), sum(w[2]), sum(w[3]), sum(w[4]), sum(w[5]), sum(w[6]), sum(w[7]), sum(w[8])], lambda v: CAST(v % 4294967296 AS BIGINT)) AS v FROM h GROUP BY ALL),
+bits AS (SELECT doc_id, kind, s, sum((w[1] >> s) & 1) AS a, sum((w[2] >> s) & 1) AS b, sum((w[3] >> s) & 1) AS c, sum((w[4] >> s) & 1) AS e FROM h, (SELECT unnest(range(32)) AS s) GROUP BY ALL),
+lanes AS (SELECT doc_id, kind, list_concat(list(a * 65536 + b ORDER BY s), list(c * 65536 + e ORDER BY s)) AS pairs, list_concat(list_concat(list(a ORDER BY s), list(b ORDER BY s)), list_concat(list(c ORDER BY s), list(e ORDER BY s))) AS l FROM bits GROUP BY ALL),
+f AS (SELECT doc_id, kind, upper(printf('%08x', n) || array_to_string(list_transform(list_concat(v, list_transform(pairs, lambda p: CAST(p AS BIGINT))), lambda p: printf('%08x', p)), '')) AS f, list_transform(l, lambda c: CAST(2 * c - n AS BIGINT)) AS s FROM wide JOIN lanes USING (doc_id, kind)),
+g AS (SELECT x.doc_id, CAST(length(text) AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, o.f AS fingerprint, e.f AS edited_fingerprint, o.s AS os, e.s AS es, n.s AS ns FROM x JOIN f o ON o.doc_id = x.doc_id AND o.kind = 'own' JOIN f e ON e.doc_id = x.doc_id AND e.kind = 'edited' JOIN f n ON n.doc_id = x.next_id AND n.kind = 'own'),
+dots AS (SELECT *, list_sum(list_transform(os, lambda v: v * v)) AS oo, list_sum(list_transform(es, lambda v: v * v)) AS ee, list_sum(list_transform(ns, lambda v: v * v)) AS nn, list_sum(list_transform(list_zip(os, es), lambda z: z[1] * z[2])) AS oe, list_sum(list_transform(list_zip(os, ns), lambda z: z[1] * z[2])) AS onx FROM g)
+SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
+  CASE WHEN os = es THEN 1.0::DOUBLE WHEN oo + ee = 0 THEN 0.0 ELSE greatest(0.0, least(1.0, 2 * oe / (oo + ee))) END AS near_edited,
+  CASE WHEN os = ns THEN 1.0::DOUBLE WHEN oo + nn = 0 THEN 0.0 ELSE greatest(0.0, least(1.0, 2 * onx / (oo + nn))) END AS near_next
+FROM dots
+"""
+
+ORACLES: dict[str, str] = {"op4_jaccard_join": JACCARD, "op7_mixing": MIXING, "op10_multiset_hash": MULTISET}
