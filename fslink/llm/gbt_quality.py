@@ -143,10 +143,12 @@ def remainder(doc_id: Column) -> Column:
 
 def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Trees:
     """Fits the trees on at most ``sample_rows`` labelled rows (doc_id, quality) that aren't held
-    out, taken in the order of a hash of their id."""
+    out, taken in the order of a hash of their id; of the texts of one id the first by a hash counts."""
     known = labels.where(F.col("quality").isin(0, 1) & (remainder(F.col("doc_id")) != HELD_OUT_IS)).select("doc_id", "quality")
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "text", "quality")
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    # Of repeated ids one text stays, the first by a hash, so the sample is bounded by its labels.
+    rows = rows.groupBy("doc_id", "quality").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("first")).select("doc_id", "first.text", "quality")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
