@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9]+)"))
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of ``value``, which is evaluated once however often ``f`` uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def ngrams(words: Column, low: int = 1, high: int = 2) -> Column:
     """All n-grams of low to high words, joined by '_', shorter ones first."""
 
@@ -24,8 +31,7 @@ def ngrams(words: Column, low: int = 1, high: int = 2) -> Column:
             grams.append(F.when(F.size(w) >= n, _joined(w, start, n)).otherwise(F.array().cast("array<string>")))
         return F.concat(*grams)
 
-    # Bound to a variable, the words are made once and not once per n-gram.
-    return F.element_at(F.transform(F.array(words), of), 1)
+    return bound(words, of)
 
 
 def _joined(words: Column, starts: Column, n: int) -> Column:
@@ -43,25 +49,69 @@ def bucket(term: Column, dim: int = 512, seed: int = 0) -> Column:
     return fnv1a(term).bitwiseXOR(F.lit(seed).cast("long")) % dim
 
 
-def term_counts(docs: DataFrame, id: str, text: str, dim: int = 512, seed: int = 0, low: int = 1, high: int = 2) -> DataFrame:
-    """(id, bucket, tf): how many terms of each document fall into each bucket.
+def counted(buckets: Column) -> Column:
+    """array<struct<bucket, tf>> of an array of buckets, ascending: sorted, then the lengths of runs."""
+
+    def runs(x: Column) -> Column:
+        head = lambda i: (i == 1) | (F.get(x, i - 1) != F.get(x, i - 2))
+        heads = F.filter(F.sequence(F.lit(1), F.size(x)), head)
+        ends = lambda h: F.transform(h, lambda i, k: F.struct(F.get(x, i - 1).alias("bucket"), (F.coalesce(F.get(h, k + 1), F.size(x) + 1) - i).cast("long").alias("tf")))
+        return bound(heads, ends)
+
+    none = F.array().cast("array<struct<bucket:bigint,tf:bigint>>")
+    return bound(buckets, lambda x: F.when(F.size(x) > 0, bound(F.sort_array(x), runs)).otherwise(none))
+
+
+def document_counts(docs: DataFrame, id: str, text: str, dim: int = 512, seed: int = 0, low: int = 1, high: int = 2) -> DataFrame:
+    """(id, counts array<struct<bucket, tf>>) of each document, made within its row."""
+    hashed = F.transform(ngrams(tokens(F.col(text)), low, high), lambda t: bucket(t, dim, seed))
+    return docs.select(id, counted(hashed).alias("counts"))
+
 
-    Terms are hashed where they are read: what is shuffled is at most dim counts a document, never
-    the terms.
-    """
-    terms = docs.select(id, F.explode(ngrams(tokens(F.col(text)), low, high)).alias("term"))
-    return terms.select(id, bucket(F.col("term"), dim, seed).alias("bucket")).groupBy(id, "bucket").agg(F.count("*").alias("tf"))
+def term_counts(docs: DataFrame, id: str, text: str, dim: int = 512, seed: int = 0, low: int = 1, high: int = 2) -> DataFrame:
+    """(id, bucket, tf): how many terms of each document fall into each bucket; ids are unique, so
+    nothing is shuffled."""
+    return document_counts(docs, id, text, dim, seed, low, high).select(id, F.inline("counts"))
 
 
 def idf(counts: DataFrame, n_docs: DataFrame, id: str, max_df: float = 1.0) -> DataFrame:
     """(bucket, df, idf): ln((n+1)/(df+1)) + 1, and 0 where more than max_df of the documents have
-    the bucket.  ``n_docs`` is a one-row table with the column n."""
-    found = counts.groupBy("bucket").agg(F.countDistinct(id).alias("df"))
+    the bucket.  ``counts`` has one row per (id, bucket); ``n_docs`` is a one-row table with the column n."""
+    found = counts.groupBy("bucket").agg(F.count("*").alias("df"))
     n = F.lit(int(n_docs.first()["n"]))
     weight = F.log((n + 1) / (F.col("df") + 1)) + 1
     return found.select("bucket", "df", F.when(F.col("df") / n > max_df, F.lit(0.0)).otherwise(weight).alias("idf"))
 
 
+def weighted(documents: DataFrame, weights: DataFrame, id: str, sublinear: bool = False) -> DataFrame:
+    """(id, weights array<struct<bucket, weight>>) with unit length, from ``document_counts`` and
+    ``idf``, without a shuffle of documents: the idf of at most dim buckets goes along as one array."""
+    known = {int(r["bucket"]): float(r["idf"]) for r in weights.select("bucket", "idf").collect()}  # one row per bucket
+    table = F.array(*(F.lit(known.get(k, 0.0)) for k in range(max(known, default=0) + 1)))
+    tf = lambda c: 1 + F.log(c["tf"].cast("double")) if sublinear else c["tf"].cast("double")
+
+    def unit(raw: Column) -> Column:
+        length = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
+        divided = lambda x, n: F.struct(x["bucket"].alias("bucket"), F.when(n > 0, x["w"] / n).otherwise(F.lit(0.0)).alias("weight"))
+        return bound(length, lambda n: F.transform(raw, lambda x: divided(x, n)))
+
+    raw = F.transform("counts", lambda c: F.struct(c["bucket"].alias("bucket"), (tf(c) * F.get(table, c["bucket"].cast("int"))).alias("w")))
+    return documents.select(id, bound(raw, unit).alias("weights"))
+
+
+def vectors(documents: DataFrame, weights: DataFrame, id: str, dim: int = 512, sublinear: bool = False) -> DataFrame:
+    """(id, vector array<double>) of every document, zeros for those without terms; no shuffle."""
+    made = weighted(documents, weights, id, sublinear)
+
+    def spread(found: Column) -> Column:
+        # The entries and a zero for every bucket, sorted: of each bucket the last counts.
+        every = F.sort_array(F.concat(found, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.struct(k.cast("long").alias("bucket"), F.lit(float("-inf")).alias("weight")))))
+        kept = lambda e: F.filter(e, lambda x, i: F.coalesce(F.get(e, i + 1)["bucket"] != x["bucket"], F.lit(True)))
+        return F.transform(bound(every, kept), lambda x: F.when(x["weight"] > float("-inf"), x["weight"]).otherwise(0.0))
+
+    return made.select(id, bound(F.col("weights"), spread).alias("vector"))
+
+
 def tfidf(counts: DataFrame, weights: DataFrame, id: str, sublinear: bool = False) -> DataFrame:
     """(id, bucket, weight) with unit length per document; an all-zero document keeps its zeros."""
     tf = F.when(F.lit(sublinear), 1 + F.log(F.col("tf").cast("double"))).otherwise(F.col("tf").cast("double"))

@@ -17,12 +17,13 @@ def components(edges: DataFrame) -> DataFrame:
     Rounds of contraction: each vertex points to the least of itself and its neighbours in an order
     drawn anew by a hash of the round, edges follow the pointers and loops vanish.  A round is expected
     to take away a constant share of the vertices, also of a chain, so about log n rounds do.  Every
-    round is checkpointed.
+    round is written, and the edges are settled before the first.
     """
     turn = 0
     pairs = lambda df: df.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    edges = settle(edges.select("a", "b"))
     left = settle(pairs(edges))
-    labels = settle(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node")))
+    labels = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node"))
     while left.take(1):
         around = left.union(left.select("b", "a"))
         turn += 1
@@ -41,8 +42,8 @@ def clusters(links: DataFrame, threshold: float = THRESHOLD_BITS) -> DataFrame:
     """(cluster_id, members, size, edges, mean_bits) of the components that links (id_a, id_b,
     total_bits) of at least ``threshold`` form, largest first, then by mean bits."""
     strong = links.where(F.col("total_bits") >= threshold).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), "total_bits")
-    strong = strong.where("a <> b")
-    root = components(strong.select("a", "b"))
+    strong = settle(strong.where("a <> b"))
+    root = settle(components(strong))
     members = root.groupBy("root").agg(F.array_sort(F.collect_set("node")).alias("members"), F.count("*").alias("size"))
     weight = strong.join(root, F.col("a") == F.col("node")).groupBy("root").agg(F.count("*").alias("edges"), F.avg("total_bits").alias("mean_bits"))
     return members.join(weight, "root").select(F.col("root").alias("cluster_id"), "members", "size", "edges", "mean_bits").orderBy(F.desc("size"), F.desc("mean_bits"), "cluster_id")

@@ -156,9 +156,9 @@ def experiment(cases: DataFrame, spec: LinkageSpec, alpha_same: float, reference
     """Trains on one part of the entities and judges on another: per pair class recall among the k
     nearest by text, precision at ``best``, PR-AUC, prior and counts; the model under 'model'."""
     cases = settle(cases)
-    counts = X.term_counts(cases, spec.id, spec.text, dim)
-    weights = X.tfidf(counts, X.idf(counts, cases.agg(F.count("*").alias("n")), spec.id, 1.0), spec.id)
-    near = settle(knn.top_k(X.dense(weights, cases, spec.id, dim), k, spec.id, "vector"))
+    counts = settle(X.document_counts(cases, spec.id, spec.text, dim))
+    weights = X.idf(counts.select(spec.id, F.inline("counts")), cases.agg(F.count("*").alias("n")), spec.id, 1.0)
+    near = settle(knn.top_k(X.vectors(counts, weights, spec.id, dim), k, spec.id, "vector"))
     u, priors = Q.frequencies(cases, spec), Q.priors(cases, spec)
     rate = Q.cross_repeat_rate(cases, spec).first()["rate"]
     alpha_cross = alpha_of(rate, reference_frequency) if rate and rate > reference_frequency else alpha_same

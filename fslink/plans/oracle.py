@@ -75,7 +75,7 @@ totals AS (SELECT p.id_a, p.id_b, CASE WHEN h.same THEN 'same_type' ELSE 'cross_
   LEFT JOIN priors r ON r.pair_class = CASE WHEN h.same THEN 'same_type' ELSE 'cross_type' END AND r.key = CASE WHEN h.same THEN h.cls ELSE '' END)"""
 
 
-def _near(k: int = 10) -> str:
+def _near(k: int = 50) -> str:
     return f"""e AS (SELECT vec_id, embedding, label FROM embeddings),
 sims AS (SELECT a.vec_id AS case_id, b.vec_id AS partner_id, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE))), 6) + 0.0 AS sim FROM e a JOIN e b ON a.vec_id <> b.vec_id),
 near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY sim DESC, partner_id) AS retrieval_rank FROM sims) WHERE retrieval_rank <= {k})"""
@@ -133,6 +133,7 @@ ORACLES: dict[str, str] = {
     "tfidf_weights": f"WITH {TFIDF} SELECT doc_id, bucket, round(weight, 6) AS weight FROM tfidf",
     "idf_ngrams": f"WITH {TFIDF_GRAMS} SELECT bucket, df, round(idf, 6) AS idf FROM idf",
     "tfidf_weights_ngrams": f"WITH {TFIDF_GRAMS} SELECT doc_id, bucket, round(weight, 6) AS weight FROM tfidf",
+    "text_topk": f"WITH {TFIDF_GRAMS}, v AS (SELECT doc_id, list(coalesce(weight, 0.0) ORDER BY b.bucket) AS v FROM (SELECT doc_id FROM documents) CROSS JOIN (SELECT unnest(range(512)) AS bucket) b LEFT JOIN tfidf USING (doc_id, bucket) GROUP BY doc_id), sims AS (SELECT a.doc_id AS case_id, b.doc_id AS partner_id, round(list_dot_product(a.v, b.v), 6) + 0.0 AS sim FROM v a JOIN v b ON a.doc_id <> b.doc_id) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY sim DESC, partner_id) AS retrieval_rank FROM sims) WHERE retrieval_rank <= 50",
     "vector_topk": f"WITH {NEAR} SELECT case_id, partner_id, sim, retrieval_rank FROM near",
     "links": f"{LINKS} SELECT case_id, partner_id, rank, total_bits, round(prior_bits, 6) AS prior_bits, pair_class FROM links",
     "links_with_contributions": f"{LINKS} SELECT l.case_id, l.partner_id, coalesce(string_agg(c.field, ',' ORDER BY abs(round(c.bits, 6)) DESC, c.field), '') AS fields FROM links l LEFT JOIN con c ON c.id_a = l.case_id AND c.id_b = l.partner_id GROUP BY l.case_id, l.partner_id",
@@ -142,7 +143,7 @@ ORACLES: dict[str, str] = {
     "ego_cluster": f"{LINKS}, m AS (SELECT 7 AS member UNION SELECT partner_id FROM links WHERE case_id = 7 AND total_bits - coalesce(prior_bits, 0) >= 0.0), j AS (SELECT m.member, c.quarter AS place FROM m JOIN cases c ON c.id = m.member) SELECT CAST(member AS BIGINT) AS member, place, (SELECT count(DISTINCT place) > 1 FROM j) AS relocated FROM j",
     "recall_at_k": f"WITH {NEAR}, {LABELLED}, q AS (SELECT b.pair_class, b.case_id, count(n.case_id) / count(*) AS recall FROM both_ways b LEFT JOIN near n USING (case_id, partner_id) GROUP BY 1, 2) SELECT pair_class, count(*) AS queries, round(avg(recall), 6) AS recall FROM q GROUP BY pair_class",
     "entity_recall": f"WITH {NEAR}, {LABELLED}, q AS (SELECT b.entity, count(n.case_id) / count(*) AS recall FROM both_ways b LEFT JOIN near n USING (case_id, partner_id) GROUP BY 1) SELECT count(*) AS entities, round(avg(recall), 6) AS recall FROM q",
-    "precision_at_k": f"{CANDIDATES}, ends AS (SELECT pair_class, id_a AS case_id, id_b AS partner_id, label, score FROM scored UNION ALL SELECT pair_class, id_b, id_a, label, score FROM scored), t AS (SELECT *, max(label) OVER (PARTITION BY pair_class, case_id) AS hit, row_number() OVER (PARTITION BY pair_class, case_id ORDER BY score DESC, partner_id) AS place FROM ends), p AS (SELECT pair_class, case_id, avg(label) AS p FROM t WHERE hit = 1 AND place <= 5 GROUP BY 1, 2) SELECT pair_class, count(*) AS queries, round(avg(p), 6) AS precision FROM p GROUP BY pair_class",
+    "precision_at_k": f"{CANDIDATES}, ends AS (SELECT pair_class, id_a AS case_id, id_b AS partner_id, label, score FROM scored UNION ALL SELECT pair_class, id_b, id_a, label, score FROM scored), t AS (SELECT *, max(label) OVER (PARTITION BY pair_class, case_id) AS hit, row_number() OVER (PARTITION BY pair_class, case_id ORDER BY score DESC, partner_id) AS place FROM ends), p AS (SELECT pair_class, case_id, avg(label) AS p FROM t WHERE hit = 1 AND place <= 10 GROUP BY 1, 2) SELECT pair_class, count(*) AS queries, round(avg(p), 6) AS precision FROM p GROUP BY pair_class",
     "pr_auc": f"{CANDIDATES}, d AS (SELECT pair_class, score, sum(label) AS h, count(*) AS n FROM scored GROUP BY 1, 2), r AS (SELECT pair_class, score, sum(h) OVER o AS tp, sum(n) OVER o AS seen, sum(h) OVER (PARTITION BY pair_class) AS pos, sum(n) OVER (PARTITION BY pair_class) AS pairs FROM d WINDOW o AS (PARTITION BY pair_class ORDER BY score DESC ROWS UNBOUNDED PRECEDING)), x AS (SELECT *, tp / seen AS pr, tp / pos AS re FROM r), y AS (SELECT pair_class, pos, pairs, (re - coalesce(lag(re) OVER w, 0)) * (pr + coalesce(lag(pr) OVER w, 1)) / 2 AS a FROM x WINDOW w AS (PARTITION BY pair_class ORDER BY score DESC)) SELECT pair_class, CAST(pos AS BIGINT) AS positives, CAST(pairs AS BIGINT) AS pairs, round(sum(a), 9) AS pr_auc FROM y GROUP BY 1, 2, 3",
     "mutual_information": f"{C}, k AS (SELECT cls, status AS x, segment AS y, count(*) AS n FROM cases WHERE status IS NOT NULL AND segment IS NOT NULL GROUP BY 1, 2, 3), w AS (SELECT cls, n, sum(n) OVER (PARTITION BY cls) AS t, sum(n) OVER (PARTITION BY cls, x) AS nx, sum(n) OVER (PARTITION BY cls, y) AS ny FROM k) SELECT cls, CAST(max(t) AS BIGINT) AS n, round(sum(n / t * log2(n * t / (nx * ny))), 8) AS mi_bits FROM w WHERE t >= 50 GROUP BY cls",
     "z_scores": f"{C}, {EXPECTED} SELECT cls, value, n, round(observed, 6) AS observed, round(expected, 6) AS expected, round(abs(observed - expected) / sqrt(expected * (1 - expected) / total), 4) AS z FROM realised",

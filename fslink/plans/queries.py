@@ -17,6 +17,7 @@ from fslink.operators import render as R
 from fslink.operators import scoring as S
 from fslink.operators import statistics as T
 from fslink.plans.views import ALPHA_CROSS, ALPHA_SAME, SPEC, cases, table
+from fslink.sources.shared import settle, shared_path
 from fslink.sources.tables import latest
 from fslink.spec import CROSS_TYPE, SAME_FAMILY, SAME_TYPE
 
@@ -26,7 +27,7 @@ STATUS_LABELS = {"O": "open", "F": "final", "P": "partial"}
 SCOPE = {"1-URGENT": "urgent", "2-HIGH": "high", "3-MEDIUM": "medium"}
 FLAG_LABELS = {"A": "accepted", "N": N.NONE_OBSERVED, "R": "returned"}
 PHRASES = {"tools": {"with": {"en": "with"}, "from": {"en": "from"}, N.NONE_OBSERVED: {"en": "the"}}, "mode": {"on": {"en": " on "}, "the": {"en": "the"}}}
-TOP = 10
+TOP = 50
 CLUSTER_SIM = 0.35
 
 
@@ -176,8 +177,8 @@ def true_pairs(spark, d):
 
 
 def _scored(spark, d):
-    c = cases(spark, d)
-    pairs = Q.true_pairs(c, SPEC).select("id_a", "id_b")
+    c = settle(cases(spark, d))
+    pairs = settle(Q.true_pairs(c, SPEC).select("id_a", "id_b"))
     return c, pairs, S.contributions(pairs, c, Q.frequencies(c, SPEC), SPEC, ALPHA_SAME, ALPHA_CROSS)
 
 
@@ -233,43 +234,41 @@ def fnv_buckets(spark, d):
 
 
 def _counts(spark, d, high=2):
-    return X.term_counts(table(spark, d, "documents"), "doc_id", "text", high=high)
+    return settle(X.document_counts(table(spark, d, "documents"), "doc_id", "text", high=high))
 
 
-def _idf(spark, d, counts):
-    return X.idf(counts, table(spark, d, "documents").agg(F.count("*").alias("n")), "doc_id", 0.9)
+def _idf(counts):
+    return X.idf(counts.select("doc_id", F.inline("counts")), counts.agg(F.count("*").alias("n")), "doc_id", 0.9)
 
 
 @query
 def idf(spark, d):
-    return _idf(spark, d, _counts(spark, d, 1)).select("bucket", "df", _r("idf"))
+    return _idf(_counts(spark, d, 1)).select("bucket", "df", _r("idf"))
 
 
 @query
 def idf_ngrams(spark, d):
-    return _idf(spark, d, _counts(spark, d)).select("bucket", "df", _r("idf"))
+    return _idf(_counts(spark, d)).select("bucket", "df", _r("idf"))
 
 
-def _weights(spark, d, counts):
-    return X.tfidf(counts, _idf(spark, d, counts), "doc_id", True).select("doc_id", "bucket", _r("weight"))
+def _weights(counts):
+    return X.weighted(counts, _idf(counts), "doc_id", True).select("doc_id", F.inline("weights")).select("doc_id", "bucket", _r("weight"))
 
 
 @query
 def tfidf_weights(spark, d):
-    return _weights(spark, d, _counts(spark, d, 1))
+    return _weights(_counts(spark, d, 1))
 
 
 @query
 def tfidf_weights_ngrams(spark, d):
-    return _weights(spark, d, _counts(spark, d))
+    return _weights(_counts(spark, d))
 
 
 @query
 def text_topk(spark, d):
-    docs = table(spark, d, "documents")
     counts = _counts(spark, d)
-    vectors = X.dense(X.tfidf(counts, _idf(spark, d, counts), "doc_id", True), docs, "doc_id")
-    return knn.top_k(vectors, TOP, "doc_id", "vector").select("case_id", "partner_id", F.round("sim", 4).alias("sim"), "retrieval_rank")
+    return knn.top_k(X.vectors(counts, _idf(counts), "doc_id", sublinear=True), TOP, "doc_id", "vector").select("case_id", "partner_id", "sim", "retrieval_rank")
 
 
 def _vectors(spark, d, k=TOP):
@@ -285,8 +284,8 @@ def vector_topk(spark, d):
 
 
 def _links(spark, d):
-    c = cases(spark, d)
-    near = _vectors(spark, d)
+    c = settle(cases(spark, d))
+    near = settle(_vectors(spark, d))
     pairs = near.select(F.col("case_id").alias("id_a"), F.col("partner_id").alias("id_b"))
     scored = S.contributions(pairs, c, Q.frequencies(c, SPEC), SPEC, ALPHA_SAME, ALPHA_CROSS)
     total = S.totals(pairs, c, scored, Q.priors(c, SPEC), SPEC).select(F.col("id_a").alias("case_id"), F.col("id_b").alias("partner_id"), "pair_class", "prior_bits", F.round("total_bits", 6).alias("total_bits"))
@@ -362,7 +361,7 @@ def _candidates(spark, d):
 
 @query
 def precision_at_k(spark, d):
-    return metrics.precision_at_k(_candidates(spark, d), 5).select("pair_class", "queries", _r("precision"))
+    return metrics.precision_at_k(_candidates(spark, d), 10).select("pair_class", "queries", _r("precision"))
 
 
 @query
@@ -487,17 +486,10 @@ def feedback_latest(spark, d):
 
 @query
 def stream_ingest(spark, d):
-    import uuid
-
-    from fslink.sources.shared import settle
     from fslink.streaming.ingest import file_stream, ingest
 
     events = table(spark, d, "events")
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        settle(spark.range(1))
-        root = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    base = f"{root}/stream-{uuid.uuid4().hex}"
+    base = shared_path(spark, "stream")
     run = ingest(file_stream(spark, d, events.schema, glob="events.parquet"), f"{base}/cases", f"{base}/state", "event_id", lambda df: df.where("value > 0"))
     run.awaitTermination()
     return spark.read.parquet(f"{base}/cases").groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("ids"))

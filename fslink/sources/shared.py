@@ -5,19 +5,43 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """A checkpoint of ``df`` in the folder named by ``spark.checkpoint.dir``; where that is unset
-    (tests), in a folder of this machine that goes with the process."""
+def shared_root(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``; where that is unset (tests), one of this machine
+    that goes with the process."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        local = tempfile.mkdtemp(prefix="fslink-shared-")
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+        named = f"file://{local}"
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
+
+
+def shared_path(spark: SparkSession, tag: str) -> str:
+    """A new, unused path below the shared folder, deleted when the driver ends."""
+    path = f"{shared_root(spark)}/fslink-{tag}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    """Frees a path if the session still lives; a session that was stopped leaves it to the folder's owner."""
+    try:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    except Exception:  # noqa: BLE001 - the gateway may be gone
+        pass
+
+
+def settle(df: DataFrame, tag: str = "settled") -> DataFrame:
+    """``df`` written as Parquet into the shared folder and read again: computed once, without lineage,
+    and of known size to later plans."""
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named:
-            named = tempfile.mkdtemp(prefix="fslink-checkpoints-")
-            atexit.register(shutil.rmtree, named, ignore_errors=True)
-        context.setCheckpointDir(named)
-    return df.checkpoint()
+    path = shared_path(spark, tag)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
