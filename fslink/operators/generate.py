@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from fslink.functions.evidence import alpha_of, case_id
 from fslink.operators.normalise import DERIVED, UNKNOWABLE, time_band
-from fslink.operators.statistics import serial_numbers
+from fslink.operators.statistics import running, serial_numbers
 
 SERIAL, BACKGROUND = 1, 2
 
@@ -125,30 +125,40 @@ def _clock(world: World, cls: str, values: dict[str, str], rng: np.random.Genera
     return hour, median * math.exp(sigma * rng.normal()), late * math.exp(spread * rng.normal())
 
 
+def fitted(days: np.ndarray, last: float, share: float) -> np.ndarray:
+    """A series' days, from 0 on, moved to begin at a share of the room that they leave before ``last``;
+    a longer series is cut there, but drawn together if only its first crime would be left."""
+    span = days[-1]
+    if span <= last:
+        return days + share * (last - span)
+    if (days <= last).sum() < 2:
+        days = days * (last / span)
+    return days[days <= last]
+
+
 def series(world: World, seed: int, number: int) -> list[dict]:
-    """The crimes of one serial offender, in order."""
+    """The crimes of one serial offender, in order; at least two."""
     rng = stream(seed, SERIAL, number)
     style = rng.normal(size=world.axes)
-    length = world.least_length + int(rng.poisson(rng.gamma(world.extra_shape, world.extra_mean / world.extra_shape)))
+    length = max(2, world.least_length) + int(rng.poisson(rng.gamma(world.extra_shape, world.extra_mean / world.extra_shape)))
+    means = np.array([m for _, m in world.gaps])
+    gaps = rng.exponential(means[rng.choice(len(means), size=length - 1, p=[w for w, _ in world.gaps])])
     classes = world.classes.habit(style, world.tau, world.alpha, rng)
     habits: dict[str, dict[str, np.ndarray]] = {}
     state = _pick(world.shares, rng)
-    moves_at = int(rng.integers(1, length)) if length > 1 and rng.random() < world.moving else None
-    district, day, out = str(rng.choice(world.places[state])), world.days * rng.random(), []
-    for k in range(length):
-        if k:
-            means = [m for _, m in world.gaps]
-            day += rng.exponential(means[int(rng.choice(len(means), p=[w for w, _ in world.gaps]))])
-        if k == moves_at and world.neighbours.get(state):
+    moves_at = int(rng.integers(1, length)) if rng.random() < world.moving and world.neighbours.get(state) else None
+    if moves_at:
+        gaps[moves_at - 1] += rng.uniform(*world.dormant)
+    district, out = str(rng.choice(world.places[state])), []
+    for k, day in enumerate(fitted(np.concatenate([[0.0], np.cumsum(gaps)]), float(world.days), rng.random())):
+        if k == moves_at:
             state = str(rng.choice(world.neighbours[state]))
-            district, day = str(rng.choice(world.places[state])), day + rng.uniform(*world.dormant)
-        if day >= world.days:
-            break
+            district = str(rng.choice(world.places[state]))
         cls = world.classes.draw(classes, rng)
         if cls not in habits:
             habits[cls] = {f: m.habit(style, world.tau, world.alpha, rng) for f, m in world.fields[cls].items()}
         here = district if rng.random() < world.same_district else str(rng.choice(world.places[state]))
-        out.append(_case(f"S{number:07d}", True, k, state, here, cls, _values(world, cls, habits[cls], rng), day, rng, world))
+        out.append(_case(f"S{number:07d}", True, k, state, here, cls, _values(world, cls, habits[cls], rng), min(float(day), world.days - 1e-6), rng, world))
     return out
 
 
@@ -196,6 +206,32 @@ def truth(spark: SparkSession, world: World, offenders: int, background: int, se
     return cases.withColumn("fir_no", fir).withColumn("case_id", case_id(F.col("state_code"), F.col("fir_no"), F.col("year"))).drop("fir_serial", "year")
 
 
+def offenders_for(spark: SparkSession, world: World, serial_cases: int, seed: int = 7) -> tuple[int, int]:
+    """How many offenders, from number 0 on, it takes until they have at least so many cases, and how many
+    cases they have."""
+    if serial_cases <= 0:
+        return 0, 0
+    tried = max(8, math.ceil(1.2 * serial_cases / (max(2, world.least_length) + world.extra_mean)))
+
+    def lengths(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"number": frame["number"], "n": [len(series(world, seed, int(k))) for k in frame["number"]]})
+
+    while True:
+        counted = spark.range(tried).selectExpr("id AS number").repartition("number").mapInPandas(lengths, "number long, n long")
+        run = running(counted, [], [F.col("number").asc()], {"cases": F.col("n")})
+        found = run.where(F.col("cases") >= serial_cases).agg(F.min(F.struct("number", "cases")).alias("first")).first()["first"]
+        if found is not None:
+            return int(found["number"]) + 1, int(found["cases"])
+        tried *= 2
+
+
+def corpus(spark: SparkSession, world: World, cases: int, serial_fraction: float, seed: int = 7) -> DataFrame:
+    """True cases, so many in all: serial offenders until they have their share, background after that."""
+    offenders, serial = offenders_for(spark, world, round(cases * serial_fraction), seed)
+    return truth(spark, world, offenders, max(cases - serial, 0), seed)
+
+
 def uniform(seed: int, slot: str, *keys: str | Column) -> Column:
     """A number in [0, 1) that depends on the row's keys, the slot and the seed alone."""
     return F.pmod(F.xxhash64(F.lit(seed), F.lit(slot), *keys), F.lit(1 << 30)) / F.lit(float(1 << 30))

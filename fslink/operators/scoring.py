@@ -122,6 +122,24 @@ def driven_by(scored: DataFrame, top: int = 3) -> DataFrame:
     return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top).select("id_a", "id_b", "place", label.alias("label"))
 
 
+def driven_by_labels(contributions: Column, top: int = 3) -> Column:
+    """array<string>: the labels of the strongest of an array of contributions (field, value_a,
+    value_b, bits), strongest first."""
+    order = F.sort_array(F.transform(contributions, lambda x: F.struct((-F.abs(x["bits"])).alias("order"), x["field"].alias("field"), x["value_a"].alias("value_a"), x["value_b"].alias("value_b"))))
+    label = lambda x: F.when(x["value_a"] == x["value_b"], F.concat_ws("=", x["field"], x["value_a"])).otherwise(F.concat(x["field"], F.lit(" disagrees")))
+    return F.transform(F.slice(order, 1, top), label)
+
+
+def raw_comparison(cases: DataFrame, spec: LinkageSpec, id_a, id_b) -> DataFrame:
+    """(field, value_a, value_b) of the core fields that both cases have, side by side, as they were
+    recorded; tags joined by commas, none for none."""
+    core = spec.of(CORE)
+    shown = lambda f: F.when(F.size(f.name) == 0, "none").otherwise(F.array_join(f.name, ", ")) if f.kind != CATEGORICAL else F.col(f.name).cast("string")
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("place"), F.lit(f.name).alias("field"), F.when(F.col(f.name).isNotNull(), shown(f)).alias("value")) for k, f in enumerate(core)))).alias("x")
+    side = lambda id, x: cases.where(F.col(spec.id) == id).select(each).select("x.place", "x.field", F.col("x.value").alias(f"value_{x}")).where(f"value_{x} is not null")
+    return side(id_a, "a").join(side(id_b, "b"), ["place", "field"]).orderBy("place").drop("place")
+
+
 def waterfall(scored: DataFrame, totals_: DataFrame) -> DataFrame:
     """(id_a, id_b, step, field, before, after) from the prior through every contribution."""
     order = Window.partitionBy("id_a", "id_b").orderBy(F.abs("bits").desc(), "field")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fslink.functions.evidence import prior_bits
+from fslink.sources.shared import settle
 
 
 def pair_stats(cases: DataFrame, entity: str, cls: str, place: str) -> DataFrame:
@@ -36,14 +37,14 @@ def mutual_information(cases: DataFrame, cls: str, x: str, y: str, least_rows: i
 def permutation_null(cases: DataFrame, id: str, cls: str, x: str, y: str, times: int = 50, seed: int = 1) -> DataFrame:
     """(replicate, class, n, mi_bits) with y shuffled within its class by a seeded hash order.
 
-    Each replicate numbers the rows of a class twice, by id and by a hash of (seed, replicate, id),
+    Each replicate numbers the rows of a class twice, by id and by the MD5 of seed:replicate:id,
     and joins the two on the number, so a shuffle is a join and runs on all replicates at once.
     """
     rows = cases.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(id).alias("id"), F.col(cls).alias("cls"), F.col(x).alias("x"), F.col(y).alias("y"))
     many = rows.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(times))))
     part = Window.partitionBy("replicate", "cls")
     left = many.select("replicate", "cls", "x", F.row_number().over(part.orderBy("id")).alias("k"))
-    right = many.select("replicate", "cls", "y", F.row_number().over(part.orderBy(F.xxhash64(F.lit(seed), "replicate", "id"), "id")).alias("k"))
+    right = many.select("replicate", "cls", "y", F.row_number().over(part.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("replicate").cast("string"), F.col("id").cast("string"))), "id")).alias("k"))
     mixed = left.join(right, ["replicate", "cls", "k"]).withColumn("group", F.struct("replicate", "cls"))
     return mutual_information(mixed, "group", "x", "y", 1).select("cls.replicate", F.col("cls.cls").alias("cls"), "n", "mi_bits")
 
@@ -99,15 +100,63 @@ def recording_rates(rows: DataFrame, place: str, true: dict[str, str]) -> DataFr
     return long.groupBy("place", "field").agg(F.count("*").alias("n"), F.avg(there.cast("double")).alias("recorded"), F.avg(F.when(there, (F.col("said") != F.col("was")).cast("double"))).alias("confused"))
 
 
+def running(rows: DataFrame, keys: list[str], order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """Adds for each name the sum of its column over the rows of the same keys up to this one, and
+    ``<name>_all``, that over all rows of the keys.
+
+    Rows are sorted by range over keys and order; sums within a range and of the ranges before are added, so a
+    key with most of the rows is spread over many tasks.  ``order`` must tell the rows of a key apart.
+    """
+    parts = max(1, rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    by = [F.col(k).asc_nulls_first() for k in keys]
+    placed = settle(rows.withColumns({f"_s_{n}": c for n, c in sums.items()}).repartitionByRange(parts, *by, *order).withColumn("_part", F.spark_partition_id()))
+    per = placed.groupBy("_part", *keys).agg(*(F.sum(f"_s_{n}").alias(f"_p_{n}") for n in sums))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys)
+    known = per.select("_part", *(F.col(k).alias(f"_k_{k}") for k in keys), *(F.coalesce(F.sum(f"_p_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in sums), *(F.sum(f"_p_{n}").over(whole).alias(f"{n}_all") for n in sums))
+    inside = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = placed.withColumns({f"_r_{n}": F.sum(f"_s_{n}").over(inside) for n in sums})
+    same = F.col("_part") == F.col("_q")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    joined = run.join(known.withColumnRenamed("_part", "_q"), same)
+    return joined.select(*rows.columns, *((F.col(f"_r_{n}") + F.col(f"_b_{n}")).alias(n) for n in sums), *(f"{n}_all" for n in sums))
+
+
 def serial_numbers(rows: DataFrame, keys: list[str], order: list[str], name: str = "serial") -> DataFrame:
     """Numbers rows from 1 within each group, as registers do within a station and year."""
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return running(rows, keys, [F.col(c).asc_nulls_first() for c in order], {name: F.lit(1)}).drop(f"{name}_all")
 
 
 def feed_positions(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Adds position (from 0) and total within each group."""
-    part = Window.partitionBy(*keys)
-    return rows.withColumn("position", F.row_number().over(part.orderBy(*order)) - 1).withColumn("total", F.count("*").over(part))
+    found = running(rows, keys, [F.col(c).asc_nulls_first() for c in order], {"position": F.lit(1)})
+    return found.withColumn("position", F.col("position") - 1).withColumnRenamed("position_all", "total")
+
+
+def corpus_counts(cases: DataFrame, entity: str, place: str, least: int = 2) -> DataFrame:
+    """One row: cases, serial_entities (of at least so many cases), serial_cases, relocated_entities
+    (serial ones of more than one place)."""
+    per = cases.where(F.col(entity).isNotNull()).groupBy(entity).agg(F.count("*").alias("n"), F.count_distinct(place).alias("places"))
+    serial = F.col("n") >= least
+    counts = per.agg(F.count_if(serial).alias("serial_entities"), F.coalesce(F.sum(F.when(serial, F.col("n"))), F.lit(0)).alias("serial_cases"), F.count_if(serial & (F.col("places") > 1)).alias("relocated_entities"))
+    return cases.agg(F.count("*").alias("cases")).join(counts)
+
+
+def link_examples(links: DataFrame) -> DataFrame:
+    """(example, case_id, partner_id): the strongest and the weakest link, and the first of each pair
+    class by case and rank."""
+    pair = F.struct("case_id", "partner_id")
+    first = F.struct("case_id", "rank", "partner_id")
+    at = lambda cls: F.min(F.when(F.col("pair_class") == cls, first))
+    found = links.agg(
+        F.min(F.struct((-F.col("total_bits")).alias("b"), pair.alias("p"))).getField("p").alias("top"),
+        F.min(F.struct(F.col("total_bits").alias("b"), pair.alias("p"))).getField("p").alias("low"),
+        at("same_type").alias("same"), at("cross_type").alias("cross"),
+    )
+    item = lambda name, c: F.struct(F.lit(name).alias("example"), F.col(c)["case_id"].alias("case_id"), F.col(c)["partner_id"].alias("partner_id"))
+    rows = found.select(F.explode(F.array(item("strongest", "top"), item("weakest", "low"), item("same_type", "same"), item("cross_type", "cross"))).alias("r"))
+    return rows.select("r.*").where("case_id is not null")
 
 
 def unordered_pairs(rows: DataFrame, first: str) -> DataFrame:

@@ -15,19 +15,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fslink.functions import text as X
-from fslink.functions.evidence import alpha_of
+from fslink import linker
 from fslink.operators import frequencies as Q
 from fslink.operators import generate as G
-from fslink.operators import knn, metrics, model
-from fslink.operators import scoring as S
+from fslink.operators import model
 from fslink.operators import statistics as T
+from fslink.operators.embed import Embedder, HashingTfidf
+from fslink.operators.normalise import DERIVED
 from fslink.sources.shared import settle
-from fslink.spec import CROSS_TYPE, SAME_TYPE, TAGS, LinkageSpec
+from fslink.spec import SAME_TYPE, TAGS, LinkageSpec
 
 LEAST_ROWS = 50
 KEPT = 0.5
 LEAK = 0.01
+Z_MOST = 4.0
+DISPERSED = 1.5
 RATES = (0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
 GRID = (0.0, 0.25, 0.5, 0.75, 1.0, 1.25, 1.5)
 
@@ -152,42 +154,98 @@ def as_cases(recorded: DataFrame, spec: LinkageSpec, text: DataFrame | None = No
     return rows.select(F.conv(F.substring("case_id", 1, 15), 16, 10).cast("long").alias(spec.id), F.col("crime_type").alias(spec.cls), F.col("entity").alias(spec.entity), F.col("text").alias(spec.text), *(value(f).alias(f.name) for f in spec.fields))
 
 
-def experiment(cases: DataFrame, spec: LinkageSpec, alpha_same: float, reference_frequency: float = 0.1, k: int = 50, dim: int = 256, seed: int = 7, best: int = 10) -> dict[str, dict]:
+def experiment(cases: DataFrame, spec: LinkageSpec, alpha_same: float, reference_frequency: float = 0.1, k: int = 50, dim: int = 256, seed: int = 7, best: int = 10, embedder: Embedder | None = None) -> dict[str, dict]:
     """Trains on one part of the entities and judges on another: per pair class recall among the k
     nearest by text, precision at ``best``, PR-AUC, prior and counts; the model under 'model'."""
-    cases = settle(cases)
-    counts = settle(X.document_counts(cases, spec.id, spec.text, dim))
-    weights = X.idf(counts.select(spec.id, F.inline("counts")), cases.agg(F.count("*").alias("n")), spec.id, 1.0)
-    near = settle(knn.top_k(X.vectors(counts, weights, spec.id, dim), k, spec.id, "vector"))
-    u, priors = Q.frequencies(cases, spec), Q.priors(cases, spec)
-    rate = Q.cross_repeat_rate(cases, spec).first()["rate"]
-    alpha_cross = alpha_of(rate, reference_frequency) if rate and rate > reference_frequency else alpha_same
-    pairs = near.select(F.least("case_id", "partner_id").alias("id_a"), F.greatest("case_id", "partner_id").alias("id_b")).distinct()
-    ends = cases.select(F.col(spec.id).alias("id"), F.col(spec.entity).alias("entity"), F.col(spec.cls).alias("cls"))
-    side = lambda x: ends.select(*(F.col(c).alias(f"{c}_{x}") for c in ("id", "entity", "cls")))
-    facts = pairs.join(side("a"), "id_a").join(side("b"), "id_b").select("id_a", "id_b", F.when(F.col("cls_a") == F.col("cls_b"), SAME_TYPE).otherwise(CROSS_TYPE).alias("pair_class"), F.coalesce((F.col("entity_a") == F.col("entity_b")).cast("int"), F.lit(0)).alias("label"))
-    wide = S.collapsed(S.contributions(pairs, cases, u, spec, alpha_same, alpha_cross), spec)
-    names = [f.name for f in spec.fields]
-    table = settle(facts.join(wide, ["id_a", "id_b"], "left").na.fill(0.0, names))
-    splits = model.entity_split(cases, spec.entity, seed)
-    within = lambda rows, part: model.pairs_within(rows, splits, ends.select("id", "entity"), part)
-    training, testing = settle(within(table, "train")), settle(within(table, "test"))
-    truth = within(Q.true_pairs(cases, spec), "test")
+    made = linker.context(cases, spec, alpha_same, reference_frequency, embedder or HashingTfidf(dim), k, seed)
+    table = settle(linker.candidates(made))
+    weights = linker.train(made, table)
     out = {}
-    for cls in (SAME_TYPE, CROSS_TYPE):
-        made = model.fit(training.where(F.col("pair_class") == cls), names)
-        raw = sum((F.col(n) for n in names), F.lit(0.0))
-        score = model.linear_score(made) if any(made["coef"]) else raw
-        scored = testing.where(F.col("pair_class") == cls).withColumn("score", score)
-        first = lambda df, column: (df.where(F.col("pair_class") == cls).first() or {}) and df.where(F.col("pair_class") == cls).first()[column]  # noqa: B023, E731
-        prior = priors.where(F.col("pair_class") == CROSS_TYPE) if cls == CROSS_TYPE else priors.where(F.col("pair_class") == SAME_TYPE).orderBy(F.desc("true_pairs"), "key")
-        out[cls] = {
-            "recall": first(metrics.recall_at_k(truth, near, k), "recall") or None, "precision": first(metrics.precision_at_k(scored, best), "precision") or None, "pr_auc": first(metrics.pr_auc(scored), "pr_auc") or None,
-            "prior": prior.first()["prior"], "true_pairs": truth.where(F.col("pair_class") == cls).count(), "candidates": scored.count(), "model": made,
-        }
+    for r in linker.evaluate(made, weights, table, k, best).collect():
+        cls = r["pair_class"]
+        prior = made.priors.where(F.col("pair_class") == cls).orderBy(F.desc("true_pairs"), "key").first()
+        out[cls] = {"recall": r["recall"] or None, "precision": r["precision"] or None, "pr_auc": r["pr_auc"] or None, "prior": prior["prior"] if prior else None, "true_pairs": r["true_pairs"] or 0, "candidates": r["candidates"] or 0, "model": weights[cls]}
     return out
 
 
+# Verdicts
+
+
+def verdicts(cases: DataFrame, world: G.World, fields: list[str], dropout: dict[str, dict[str, float]], confusion: dict[str, float], confusable: dict[str, list[tuple[str, str]]], absent: dict[str, list[str]] | None = None, times: int = 50, seed: int = 1, z_most: float = Z_MOST, dispersed: float = DISPERSED) -> dict[str, dict]:
+    """Six verdicts on a recorded corpus (``generate.recorded``), each a dict with 'passed':
+    background values as the world has them, correlation in the truth, correlation left after recording, no leak
+    through metadata, series longer-tailed than chance, recording at its rates."""
+    cases = settle(cases)
+    out = {"background": _background(cases, world, z_most)}
+    told = correlation(cases, fields, times, seed)
+    out["truth"] = {"passed": told["true_passed"], "excess": told["true_excess"]}
+    out["recorded"] = {"passed": told["recorded_passed"], "excess": told["recorded_excess"], "kept": told["kept"]}
+    out["leaks"] = leakage(T.feed_positions(cases, ["state_code"], ["registered_at", "case_id"]), seed=seed)
+    spread = T.dispersion(cases.where("is_serial"), "entity").first()
+    out["tail"] = {"passed": (spread["index"] or 0) > dispersed, "index": spread["index"], "top_tenth_share": spread["top_tenth_share"]}
+    out["recording"] = _recording(cases, fields, dropout, confusion, confusable, absent or {}, z_most)
+    return out
+
+
+def _background(cases: DataFrame, world: G.World, z_most: float) -> dict:
+    """z-scores of every class's share and every value's share in background cases."""
+    spark, one = cases.sparkSession, cases.where("not is_serial")
+    tables = [T.realised(one.withColumn("all", F.lit("all")), "all", "crime_type", spark.createDataFrame([("all", v, float(p)) for v, p in zip(world.classes.values, world.classes.chance)], "cls string, value string, p double"))]
+    copied = set(world.copies)
+    for name in world.columns:
+        rows = [(cls, v, float(p)) for cls, models in world.fields.items() if name in models for v, p in zip(models[name].values, models[name].chance)]
+        if name in copied or not rows:
+            continue
+        expected = spark.createDataFrame(rows, "cls string, value string, p double")
+        if any(models[name].tags for models in world.fields.values() if name in models):
+            total = one.where(F.col(name).isNotNull()).groupBy(F.col("crime_type").alias("cls")).agg(F.count("*").alias("total"))
+            n = one.select(F.col("crime_type").alias("cls"), F.explode(F.split(name, ";")).alias("value")).groupBy("cls", "value").agg(F.count("*").alias("n"))
+            found = expected.join(total, "cls").join(n, ["cls", "value"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+            tables.append(found.select("cls", "value", "n", T.z_score(F.col("n") / F.col("total"), F.col("p"), F.col("total")).alias("z")))
+        else:
+            tables.append(T.realised(one, "crime_type", name, expected))
+    long = None
+    for t in tables:
+        part = t.select("cls", "value", "z")
+        long = part if long is None else long.union(part)
+    row = long.agg(F.count("*").alias("checks"), F.max("z").alias("worst")).first()
+    return {"passed": row["worst"] is not None and row["worst"] <= z_most, "checks": row["checks"], "worst_z": row["worst"]}
+
+
+def _recording(cases: DataFrame, fields: list[str], dropout: dict, confusion: dict, confusable: dict, absent: dict, z_most: float) -> dict:
+    """Blanks at their rates within z, confusions not above theirs, absent fields always blank."""
+    facts = []
+    for name in fields:
+        if name not in cases.columns:
+            continue
+        near = list(G.neighbours_of(confusable.get(name, [])))
+        plain = name != DERIVED  # a time band is that of the recorded window
+        facts.append(F.struct(F.lit(name).alias("field"), F.col(name).alias("was"), F.col(f"rec_{name}").alias("said"), (F.col(name).isin(near) & F.lit(plain) if near else F.lit(False)).alias("mixable")))
+    long = cases.select(F.col("state_code").alias("place"), F.explode(F.array(*facts)).alias("x")).select("place", "x.*").where("was is not null")
+    rows = long.groupBy("place", "field").agg(F.count("*").alias("n"), F.count_if(F.col("said").isNull()).alias("blank"), F.count_if(F.col("mixable") & F.col("said").isNotNull()).alias("mixable"), F.count_if(F.col("mixable") & (F.col("said") != F.col("was"))).alias("mixed")).collect()  # places x fields
+    failures, checks = [], 0
+    for r in rows:
+        place, name = r["place"], r["field"]
+        if name in absent.get(place, ()):
+            checks += 1
+            if r["blank"] < r["n"]:
+                failures.append(f"{place}.{name}: absent, but recorded")
+            continue
+        want = dropout.get(place, {}).get(name, dropout.get(place, {}).get("default", 0.0))
+        if r["n"] >= LEAST_ROWS and name != DERIVED:
+            checks += 1
+            spread = (want * (1 - want) / r["n"]) ** 0.5
+            gap = abs(r["blank"] / r["n"] - want)
+            if gap > (z_most * spread if spread else 0.0):
+                failures.append(f"{place}.{name}: {r['blank']} of {r['n']} blank, expected {want:.3f}")
+        wrong = confusion.get(place, 0.0)
+        if r["mixable"] >= LEAST_ROWS and 0 < wrong < 1:
+            checks += 1
+            if r["mixed"] / r["mixable"] - wrong > z_most * (wrong * (1 - wrong) / r["mixable"]) ** 0.5:
+                failures.append(f"{place}.{name}: {r['mixed']} of {r['mixable']} confused, at most {wrong:.3f} expected")
+    return {"passed": not failures, "checks": checks, "failures": failures}
+
+
 def consistency_sweep(spark: SparkSession, world: G.World, record: Record, spec: LinkageSpec, offenders: int, background: int, rates: tuple[float, ...] = RATES, k: int = 50, dim: int = 256, seed: int = 7) -> list[dict]:
     """(repeat_rate, pr_auc and recall per pair class, prior): a corpus generated, linked, trained and
     judged at each rate; counts of entities stay the same, so priors hardly move."""

@@ -7,11 +7,28 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fslink.operators.scoring import scoped
+from fslink.functions.evidence import bits_sort_key
+from fslink.operators.scoring import driven_by_labels, scoped
 from fslink.sources.tables import get_item
+from fslink.spec import SAME_TYPE
 
 PRIVATE = ("pii_ref", "sk", "crime_type_year_quarter", "needs_enrichment")
 STATUSES = ("confirmed", "rejected", "unsure")
+#: What a caller may ask for: one pair class, or both.
+SCOPES = {"same": SAME_TYPE, "all": None}
+#: Links of a case that are read before they are narrowed to a scope.
+FETCHED = 200
+#: Which tables a role reaches; personal data is reached by one role alone, which reads nothing else but its audit.
+ROLES = {
+    "ingest": frozenset({"raw", "cases", "audit"}),
+    "link": frozenset({"cases", "links", "config", "audit"}),
+    "api": frozenset({"cases", "links", "feedback", "audit"}),
+    "pii": frozenset({"pii", "audit"}),
+}
+
+
+def reaches(role: str, table: str) -> bool:
+    return table in ROLES.get(role, ())
 
 
 def public(cases: DataFrame) -> DataFrame:
@@ -24,13 +41,37 @@ def get_case(cases: DataFrame, case_id) -> tuple[int, DataFrame | None]:
     return (200, found) if found.take(1) else (404, None)
 
 
-def get_links(cases: DataFrame, links: DataFrame, case_id, scope: str | None = None, limit: int = 10) -> tuple[int, DataFrame | None]:
-    """A case's links; 404 for an unknown case, 400 for a limit outside 1 to 50 or a wrong scope."""
-    if not 1 <= limit <= 50 or scope not in (None, "same_type", "cross_type"):
+def get_links(cases: DataFrame, links: DataFrame, case_id, scope: str = "same", limit: int = 10) -> tuple[int, DataFrame | None]:
+    """A case's links, most bits first, with what drives them if they carry contributions; of one
+    class unless the scope is all, ranks as they are over both.  404 for an unknown case, 400 for a limit
+    outside 1 to 50 or a wrong scope."""
+    if not 1 <= limit <= 50 or scope not in SCOPES:
         return 400, None
     if not get_item(cases, "case_id", case_id).take(1):
         return 404, None
-    return 200, scoped(links, case_id, scope, limit)
+    fetched = links.where(F.col("case_id") == case_id).orderBy(bits_sort_key(F.col("total_bits"), F.col("partner_id"))).limit(FETCHED)
+    found = scoped(fetched, case_id, SCOPES[scope], limit)
+    return 200, found.withColumn("driven_by", driven_by_labels(F.col("contributions"))) if "contributions" in links.columns else found
+
+
+def case_record(cases: DataFrame) -> DataFrame:
+    """Cases as the service shows them: without internal columns and the register number, times in
+    ISO 8601."""
+    shown = public(cases).drop("fir_no")
+    times = {c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss") for c, kind in shown.dtypes if kind.startswith("timestamp")}
+    return shown.withColumns(times) if times else shown
+
+
+def link_record(links: DataFrame) -> DataFrame:
+    """Links as the service shows them: bits as decimals of six places, each contribution with what
+    drives it and where both values come from."""
+    decimal = lambda c: c.cast("decimal(18,6)")
+    item = lambda x: F.struct(x["field"].alias("field"), x["value_a"].alias("value_a"), x["value_b"].alias("value_b"), decimal(x["u"]).alias("u"), decimal(x["bits"]).alias("bits"), *([x["provenance"].alias("provenance")] if "provenance" in _fields(links) else []))
+    return links.select("case_id", "partner_id", "rank", decimal(F.col("total_bits")).alias("total_bits"), decimal(F.col("prior_bits")).alias("prior_bits"), "pair_class", driven_by_labels(F.col("contributions")).alias("driven_by"), F.transform("contributions", item).alias("contributions"))
+
+
+def _fields(links: DataFrame) -> list[str]:
+    return links.schema["contributions"].dataType.elementType.fieldNames()
 
 
 def post_feedback(spark: SparkSession, path: str, actor: str, body: dict, at: datetime | None = None) -> tuple[int, dict]:

@@ -50,8 +50,9 @@ def answer(spark: SparkSession, tables: Tables, method: str, target: str, body:
         limit = asked.get("limit", "10")
         if not limit.isdecimal():
             return 400, {"error": "limit must be a number"}
-        status, found = serve.get_links(tables.cases, tables.links, path[1], asked.get("scope"), int(limit))
-        return (status, _rows(found)) if found is not None else (status, {"error": "no such case" if status == 404 else "scope or limit is wrong"})
+        scope = asked.get("scope", "same")
+        status, found = serve.get_links(tables.cases, tables.links, path[1], scope, int(limit))
+        return (status, {"case_id": path[1], "scope": scope, "links": _rows(found)}) if found is not None else (status, {"error": "no such case" if status == 404 else "scope or limit is wrong"})
     if method == "GET" and len(path) == 2 and path[0] == "clusters":
         found = _rows(serve.clusters_of(tables.clusters, path[1]))
         return (200, found[0]) if found else (404, {"error": "in no cluster"})

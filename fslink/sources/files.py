@@ -80,3 +80,9 @@ def feed_of(code: str, config: dict):
 def write_vectors(vectors: DataFrame, path: str) -> None:
     """The vector index: id and vector, sorted by id so that lookups prune row groups."""
     vectors.repartitionByRange(F.col(vectors.columns[0])).sortWithinPartitions(vectors.columns[0]).write.mode("overwrite").parquet(path)
+
+
+def read_vectors(spark: SparkSession, path: str, ids: list | None = None) -> DataFrame:
+    """The vector index, or the vectors of a few ids; the file's order by id lets row groups be skipped."""
+    index = spark.read.parquet(path)
+    return index if ids is None else index.where(F.col(index.columns[0]).isin(ids))

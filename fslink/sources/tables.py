@@ -48,7 +48,27 @@ def chunks(ids: DataFrame, id: str, size: int = 1000) -> DataFrame:
     """Adds a chunk number with about ``size`` ids each, dealt by hash so that no global order of
     all rows is needed."""
     n = max(1, -(-ids.count() // size))
-    return ids.withColumn("chunk", F.pmod(F.xxhash64(id), F.lit(n)).cast("int"))
+    return ids.withColumn("chunk", F.pmod(F.crc32(F.col(id).cast("string")), F.lit(n)).cast("int"))
+
+
+def with_truth(cases: DataFrame, truth: DataFrame, key: str = "case_id") -> DataFrame:
+    """The cases with their entity from the truth (key, entity); those it doesn't know are left out."""
+    return cases.join(truth.select(key, "entity"), key, "left").where(F.col("entity").isNotNull())
+
+
+def truth_with_recorded(truth: DataFrame, recorded: DataFrame, key: str) -> DataFrame:
+    """True and recorded values of each case, the recorded ones as rec_<column>."""
+    said = recorded.select(key, *(F.col(c).alias(f"rec_{c}") for c in recorded.columns if c != key))
+    return truth.join(said, key)
+
+
+def export_subset(cases: DataFrame, links: DataFrame, examples: DataFrame, folder: str, everything: bool = False) -> None:
+    """Cases and links for a demonstration: those of the examples and of all their partners, or all."""
+    if not everything:
+        ids = with_partners(examples, links)
+        cases, links = cases.join(ids, "case_id", "left_semi"), links.join(ids, "case_id", "left_semi")
+    cases.write.mode("overwrite").parquet(f"{folder}/cases")
+    links.write.mode("overwrite").parquet(f"{folder}/links")
 
 
 def with_partners(examples: DataFrame, links: DataFrame) -> DataFrame:

@@ -27,7 +27,9 @@ def test_server(spark, tmp_path):
     try:
         assert call("/cases/a") == (200, {"case_id": "a", "crime_type": "HOME"})
         assert call("/cases/zz")[0] == 404 and call("/nothing")[0] == 404 and call("/cases/a/links?limit=x")[0] == 400
-        assert [x["rank"] for x in call("/cases/a/links?scope=cross_type")[1]] == [2] and call("/cases/a/links?limit=51")[0] == 400
+        assert [x["rank"] for x in call("/cases/a/links?scope=all")[1]["links"]] == [1, 2] and call("/cases/a/links?scope=cross_type")[0] == 400
+        status, frame = call("/cases/a/links")
+        assert status == 200 and (frame["case_id"], frame["scope"]) == ("a", "same") and [x["rank"] for x in frame["links"]] == [1] and call("/cases/a/links?limit=51")[0] == 400
         assert call("/clusters/b")[1]["members"] == ["a", "b"] and call("/clusters/c")[0] == 404
         fine = {"case_id_a": "a", "case_id_b": "b", "status": "confirmed", "reason": "seen"}
         status, row = call("/feedback", fine)
