@@ -87,7 +87,9 @@ def enriched(cases: DataFrame, found: DataFrame, vocabulary: Vocabulary, id: str
     fresh = found.select(id, *(F.col(f).alias(f"new_{f}") for f in names))
     joined = cases.join(fresh, id, "left")
     taken = lambda f: F.col(f).isNull() & F.col(f"new_{f}").isNotNull()
-    said = F.map_concat(F.map_filter("field_provenance", lambda k, _: ~k.isin(names) | ~_any_taken(names, taken, k)), F.map_from_entries(F.array_compact(F.array(*(F.when(taken(f), F.struct(F.lit(f).alias("key"), F.lit("llm_extracted").alias("value"))) for f in names)))))
+    fresh_here = F.array_compact(F.array(*(F.when(taken(f), F.lit(f)) for f in names)).cast("array<string>"))
+    joined = joined.withColumn("_taken", fresh_here)
+    said = F.transform_values("field_provenance", lambda k, v: F.when(F.array_contains("_taken", k), "llm_extracted").otherwise(v))
     columns = []
     for c in cases.columns:
         base = c.removesuffix("__status")
@@ -100,10 +102,3 @@ def enriched(cases: DataFrame, found: DataFrame, vocabulary: Vocabulary, id: str
         else:
             columns.append(F.col(c))
     return joined.select(*columns)
-
-
-def _any_taken(names, taken, key):
-    out = F.lit(False)
-    for f in names:
-        out = out | ((key == f) & taken(f))
-    return out

@@ -20,7 +20,7 @@ def cells(cases: DataFrame, spec: LinkageSpec, *keep: str) -> DataFrame:
         if f.families:
             there = there & F.col("family").isin(*f.families)
         each.append(F.when(there, F.struct(F.lit(f.section).alias("section"), F.lit(f.name).alias("field"), F.lit(f.kind).alias("kind"), values.alias("values"))))
-    rows = spec.with_family(cases).select(*keep, F.col(spec.cls).alias("cls"), "family", F.explode(F.array(*each)).alias("cell"))
+    rows = spec.with_family(cases).select(*keep, F.col(spec.cls).alias("cls"), "family", F.explode(F.array(*each).cast("array<struct<section:string,field:string,kind:string,values:array<string>>>")).alias("cell"))
     return rows.where("cell is not null").select(*keep, "cls", "family", "cell.*")
 
 

@@ -142,7 +142,7 @@ def extracted(text: Column, name: str, vocabulary: Vocabulary) -> Column:
     """Finds a field's clauses in text, lower-cased: the first value in vocabulary order for a
     categorical field, all tags for a tag field; null if there is none."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    said = [(value, low.contains(labels.get("en", "").lower())) for value, labels in vocabulary.fields.get(name, {}).items()]
+    said = [(value, low.contains(phrase)) for value, labels in vocabulary.fields.get(name, {}).items() if (phrase := labels.get("en", "").lower())]
     there = F.length(low) > 0
     if name in vocabulary.tags:
         tags = F.array_compact(F.array(*(F.when(hit, F.lit(value)) for value, hit in said if value != NONE_OBSERVED)).cast("array<string>"))

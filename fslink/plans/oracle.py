@@ -49,9 +49,9 @@ priors AS (SELECT pair_class, key, CAST(true_pairs AS BIGINT) AS true_pairs, CAS
 PAIRS = "pairs AS (SELECT a.id AS id_a, b.id AS id_b FROM cases a JOIN cases b ON a.entity = b.entity AND a.id < b.id)"
 
 
-def _scored(pairs: str) -> str:
+def _scored(pairs: str, cross: str = str(ALPHA_CROSS), u: str = U) -> str:
     """Contributions of pairs (id_a, id_b) in a CTE named pairs."""
-    return f"""{U}, {PRIORS}, {pairs},
+    return f"""{u}, {PRIORS}, {pairs},
 agg AS (SELECT pool, key, field, sum(u * u) AS uf, sum(u) AS su FROM u GROUP BY pool, key, field),
 hyd AS (SELECT p.id_a, p.id_b, a.cls = b.cls AS same, a.family = b.family AS kin, a.cls AS cls, a.family AS family, a.status AS s1, b.status AS s2, a.segment AS g1, b.segment AS g2, a.quarter AS q1, b.quarter AS q2, a.region AS r1, b.region AS r2, a.season AS n1, b.season AS n2, a.flags AS f1, b.flags AS f2
   FROM pairs p JOIN cases a ON p.id_a = a.id JOIN cases b ON p.id_b = b.id),
@@ -60,12 +60,12 @@ ev AS (SELECT id_a, id_b, same, 'core' AS section, cls, family, 'status' AS fiel
   UNION ALL SELECT id_a, id_b, same, 'core', cls, family, 'quarter', q1, q2 FROM hyd WHERE q1 IS NOT NULL AND q2 IS NOT NULL
   UNION ALL SELECT id_a, id_b, same, 'ext', cls, family, 'region', r1, r2 FROM hyd WHERE kin AND r1 IS NOT NULL AND r2 IS NOT NULL
   UNION ALL SELECT id_a, id_b, same, 'ext', cls, family, 'season', n1, n2 FROM hyd WHERE kin AND n1 IS NOT NULL AND n2 IS NOT NULL),
-evp AS (SELECT *, CASE WHEN section = 'ext' THEN 'same_family' WHEN same THEN 'same_type' ELSE 'cross_type' END AS pool, CASE WHEN section = 'ext' THEN family WHEN same THEN cls ELSE '' END AS key, CASE WHEN same THEN {ALPHA_SAME} ELSE {ALPHA_CROSS} END AS al FROM ev),
+evp AS (SELECT *, CASE WHEN section = 'ext' THEN 'same_family' WHEN same THEN 'same_type' ELSE 'cross_type' END AS pool, CASE WHEN section = 'ext' THEN family WHEN same THEN cls ELSE '' END AS key, CASE WHEN same THEN {ALPHA_SAME} ELSE {cross} END AS al FROM ev),
 catc AS (SELECT e.id_a, e.id_b, e.same, e.cls, e.field, e.va AS value_a, e.vb AS value_b,
   CASE WHEN e.va = e.vb THEN CASE WHEN u.u > 0 THEN log2((e.al * u.u + 1) / (e.al + 1) / u.u) END
        WHEN g.uf > 0 AND g.uf < 1 AND (e.al * g.uf + g.su) / (e.al + 1) < 1 THEN log2((1 - (e.al * g.uf + g.su) / (e.al + 1)) / (1 - g.uf)) END AS bits
   FROM evp e LEFT JOIN u ON u.pool = e.pool AND u.key = e.key AND u.field = e.field AND u.value = e.va LEFT JOIN agg g ON g.pool = e.pool AND g.key = e.key AND g.field = e.field),
-tags AS (SELECT id_a, id_b, same, cls, unnest(list_distinct(list_concat(f1, f2))) AS tag, f1, f2, CASE WHEN same THEN {ALPHA_SAME} ELSE {ALPHA_CROSS} END AS al FROM hyd WHERE f1 IS NOT NULL AND f2 IS NOT NULL),
+tags AS (SELECT id_a, id_b, same, cls, unnest(list_distinct(list_concat(f1, f2))) AS tag, f1, f2, CASE WHEN same THEN {ALPHA_SAME} ELSE {cross} END AS al FROM hyd WHERE f1 IS NOT NULL AND f2 IS NOT NULL),
 tagc AS (SELECT t.id_a, t.id_b, t.same, t.cls, 'flags:' || t.tag AS field, CASE WHEN list_contains(f1, tag) THEN 'True' ELSE 'False' END AS value_a, CASE WHEN list_contains(f2, tag) THEN 'True' ELSE 'False' END AS value_b,
   CASE WHEN list_contains(f1, tag) AND list_contains(f2, tag) THEN log2((al * u.u + 1) / (al + 1) / u.u) WHEN u.u < 1 THEN log2((1 - (al * u.u + 1) / (al + 1)) / (1 - u.u)) END AS bits
   FROM tags t LEFT JOIN u ON u.pool = CASE WHEN t.same THEN 'same_type' ELSE 'cross_type' END AND u.key = CASE WHEN t.same THEN t.cls ELSE '' END AND u.field = 'flags' AND u.value = t.tag),
@@ -99,12 +99,31 @@ TFIDF_GRAMS = TFIDF.replace(f"(SELECT doc_id, unnest({TOKENS}) AS term FROM docu
 BAND = "CASE WHEN h >= 22 OR h < 4 THEN 'night' WHEN h < 7 THEN 'early_morning' ELSE 'day' END"
 EXPECTED = "expected AS (SELECT cls, value, 1 / 3 AS p FROM (VALUES ('1-URGENT'), ('2-HIGH'), ('3-MEDIUM'), ('4-NOT SPECIFIED'), ('5-LOW')) a(cls), (VALUES ('O'), ('F'), ('P')) b(value)), realised AS (SELECT e.cls, e.value, count(c.id) AS n, count(c.id) / t.total AS observed, e.p AS expected, t.total FROM expected e JOIN (SELECT cls, count(status) AS total FROM cases GROUP BY cls) t USING (cls) LEFT JOIN cases c ON c.cls = e.cls AND c.status = e.value GROUP BY e.cls, e.value, e.p, t.total)"
 
+
+
+def _shuffled(group: str) -> str:
+    """null_cells (replicate, group, n, t, nx, ny) of base (id, group, x, y), y shuffled by MD5 order."""
+    return f"""many AS (SELECT * FROM base, (SELECT unnest(range(1, 51)) AS replicate)),
+xs AS (SELECT replicate, {group}, x, row_number() OVER (PARTITION BY replicate, {group} ORDER BY id) AS k FROM many),
+ys AS (SELECT replicate, {group}, y, row_number() OVER (PARTITION BY replicate, {group} ORDER BY md5('1:' || replicate || ':' || id), id) AS k FROM many),
+mixed AS (SELECT replicate, {group}, x, y, count(*) AS n FROM xs JOIN ys USING (replicate, {group}, k) GROUP BY ALL),
+null_cells AS (SELECT *, sum(n) OVER (PARTITION BY replicate, {group}) AS t, sum(n) OVER (PARTITION BY replicate, {group}, x) AS nx, sum(n) OVER (PARTITION BY replicate, {group}, y) AS ny FROM mixed)"""
+
+
+SUMMED = f"""{C}, long AS (SELECT id, cls || '|' || unnest(['status|segment', 'status|quarter', 'status|region', 'segment|quarter', 'segment|region', 'quarter|region']) AS g, unnest([status, status, status, segment, segment, quarter]) AS x, unnest([segment, quarter, region, quarter, region, region]) AS y FROM cases),
+base AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY g) AS rows_ FROM long WHERE x IS NOT NULL AND y IS NOT NULL) WHERE rows_ >= 50),
+seen AS (SELECT *, sum(n) OVER (PARTITION BY g) AS t, sum(n) OVER (PARTITION BY g, x) AS nx, sum(n) OVER (PARTITION BY g, y) AS ny FROM (SELECT g, x, y, count(*) AS n FROM base GROUP BY ALL)),
+{_shuffled('g')}, sums AS (SELECT replicate, sum(n / t * log2(n * t / (nx * ny))) AS bits FROM null_cells GROUP BY replicate),
+o AS (SELECT coalesce(sum(n / t * log2(n * t / (nx * ny))), 0) AS observed FROM seen), z AS (SELECT coalesce(avg(bits), 0) AS null_mean, coalesce(max(bits), 0) AS null_max FROM sums)
+SELECT round(observed, 6) AS observed, round(null_mean, 6) AS null_mean, round(null_max, 6) AS null_max, round(observed - null_mean, 6) AS excess FROM o, z"""
+
 ORACLES: dict[str, str] = {
     "normalise_labels": "SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'F' THEN 'final' WHEN 'P' THEN 'partial' END AS status FROM orders",
     "scope_drop": "SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'urgent' WHEN '2-HIGH' THEN 'high' ELSE 'medium' END AS crime_type FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM')",
     "tag_split": "SELECT l_orderkey, coalesce(string_agg(CASE l_returnflag WHEN 'A' THEN 'accepted' WHEN 'R' THEN 'returned' END, ';' ORDER BY l_returnflag), '') AS tags FROM (SELECT DISTINCT l_orderkey, l_returnflag FROM lineitem) GROUP BY l_orderkey",
     "native_rendering": "SELECT o_orderkey, o_orderstatus AS status_cell, coalesce(f, '') AS flags_cell FROM orders LEFT JOIN (SELECT l_orderkey, coalesce(string_agg(CASE l_returnflag WHEN 'A' THEN 'ACCEPTED' WHEN 'R' THEN 'RETURNED' END, ' / ' ORDER BY l_returnflag), 'NONE_OBSERVED') AS f FROM (SELECT DISTINCT l_orderkey, l_returnflag FROM lineitem) GROUP BY l_orderkey) ON l_orderkey = o_orderkey",
-    "summed_information": f"{C}, p AS (SELECT cls, unnest(['a', 'b', 'c', 'd', 'e', 'f']) AS pair, unnest([status, status, status, segment, segment, quarter]) AS x, unnest([segment, quarter, region, quarter, region, region]) AS y FROM cases), k AS (SELECT cls, pair, x, y, count(*) AS n FROM p WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY ALL), w AS (SELECT n, sum(n) OVER (PARTITION BY cls, pair) AS t, sum(n) OVER (PARTITION BY cls, pair, x) AS nx, sum(n) OVER (PARTITION BY cls, pair, y) AS ny FROM k) SELECT round(coalesce(sum(n / t * log2(n * t / (nx * ny))), 0), 6) AS observed FROM w WHERE t >= 50",
+    "summed_information": SUMMED,
+    "permutation_null": f"{C}, base AS (SELECT id, cls, status AS x, segment AS y FROM cases WHERE status IS NOT NULL AND segment IS NOT NULL), {_shuffled('cls')} SELECT replicate, cls, CAST(max(t) AS BIGINT) AS n, round(sum(n / t * log2(n * t / (nx * ny))), 8) AS mi_bits FROM null_cells GROUP BY replicate, cls",
     "case_id_hash": "SELECT o_orderkey, substr(sha1(o_orderpriority || o_orderkey || year(o_orderdate)), 1, 16) AS case_id FROM orders",
     "time_band": f"SELECT event_id, CASE WHEN w > 43200 THEN '__UNKNOWABLE__' ELSE {BAND} END AS band FROM (SELECT event_id, w, hour(make_timestamp(epoch_us(ts) + w * 500000)) AS h FROM (SELECT event_id, ts, CAST(floor(abs(value) * 900) AS BIGINT) AS w FROM events))",
     "year_quarter": "SELECT o_orderkey, o_orderpriority || '#' || year(o_orderdate) || 'Q' || quarter(o_orderdate) AS key FROM orders",

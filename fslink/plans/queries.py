@@ -32,7 +32,7 @@ CLUSTER_SIM = 0.35
 
 
 #: Counts and places that SQL engines give as 64-bit integers.
-LONGS = {"year", "place", "step", "n", "rank", "retrieval_rank", "serial", "position", "size", "edges", "total"}
+LONGS = {"year", "replicate", "place", "step", "n", "rank", "retrieval_rank", "serial", "position", "size", "edges", "total"}
 
 
 def query(f: Query) -> Query:
@@ -438,37 +438,15 @@ def entity_split(spark, d):
     return model.entity_split(cases(spark, d), "entity")
 
 
-def _training(spark, d):
-    c, pairs, scored = _scored(spark, d)
-    wide = S.collapsed(scored, SPEC)
-    other = c.select(F.col("id").alias("id_a"), F.lead("id", 3).over(Window.partitionBy("segment", "quarter").orderBy("happened", "id")).alias("id_b")).where("id_b is not null")
-    wrong = S.collapsed(S.contributions(other, c, Q.frequencies(c, SPEC), SPEC, ALPHA_SAME, ALPHA_CROSS), SPEC)
-    return wide.withColumn("label", F.lit(1)).unionByName(wrong.withColumn("label", F.lit(0)))
-
-
-@query
-def lr_weights(spark, d):
-    names = [f.name for f in SPEC.fields]
-    made = model.fit(_training(spark, d).cache(), names)
-    return spark.createDataFrame([*zip(made["feature_names"], made["coef"]), ("bias", made["bias"])], "feature string, weight double")
-
-
-@query
-def isotonic_calibration(spark, d):
-    table_ = _training(spark, d).cache()
-    made = model.calibrate(table_, model.fit(table_, [f.name for f in SPEC.fields]))
-    return spark.createDataFrame(list(zip(made["x"], made["y"])) if made else [], "x double, y double")
-
-
 @query
 def permutation_null(spark, d):
-    return T.permutation_null(cases(spark, d), "id", "cls", "status", "segment", 20)
+    return T.permutation_null(cases(spark, d), "id", "cls", "status", "segment").select("replicate", "cls", "n", F.round("mi_bits", 8).alias("mi_bits"))
 
 
 @query
 def summed_information(spark, d):
-    found = studies.excess_information(cases(spark, d), "id", "cls", ["status", "segment", "quarter", "region"], 2)
-    return found.select(F.round("observed", 6).alias("observed"))
+    found = studies.excess_information(cases(spark, d), "id", "cls", ["status", "segment", "quarter", "region"])
+    return found.select(*(_r(c) for c in ("observed", "null_mean", "null_max", "excess")))
 
 
 # Sources, streams
