@@ -10,21 +10,26 @@ File layout (the public seekable zstandard format, so any zstandard tool can rea
   and the low 32 bits of the XXH64 of its plain bytes; then the number of frames, a descriptor byte
   (0x80: checksums are there) and the magic number 0x8F92EAB1.
 
-A reader takes the last 9 bytes, then the table, then only the frames it wants.  Documents are in
-ascending order of id within a file and over the files.
+A reader takes the last 9 bytes, then the table, then only the frames it wants: by place (``ids``) or
+by document (``get``).  Documents are in ascending order of id within a file and over the files;
+``lookup`` finds a document among all files of a manifest.
 
-Each write task makes a file of a name of its own and reports it; only the files that successful
-tasks report are in the manifest, so retried or speculative tasks leave at most an unused file.
+A file is closed at ``FILE_BYTES`` or ``FILE_DOCS``, so a writer's memory is bounded however much a
+task writes.  Each write task makes files of names of their own and reports them; only the files that successful
+tasks report are in the manifest, so retried or speculative tasks leave at most unused files.
 
 Defined results: a null text counts as empty, its frame holds the end id alone; a null id sorts
-first and comes back as null; repeated rows get frames of their own, ties in any order; an empty
-table gives no file and an empty result; other columns are ignored.
+first and comes back as null; repeated rows get frames of their own; rows of one id are in the order of a hash
+of their text, and may be in several files; an empty
+table gives no file and an empty result; other columns are ignored.  A very long text is encoded and
+compressed as one frame, in memory, of less than 2**32 bytes.
 """
 
 from __future__ import annotations
 
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -38,6 +43,11 @@ from fslink.llm.word_bpe import word_ids
 
 END_ID = 1
 LEVEL = 3
+FILE_BYTES = 256 << 20
+FILE_DOCS = 1_000_000
+#: Rows per write task, about, where that gives more tasks than ``TASKS`` per shuffle partition.
+TASK_ROWS = 1_000_000
+TASKS = 4
 # The seekable zstandard format.
 IDS_MAGIC = 0x184D2A50
 TABLE_MAGIC = 0x184D2A5E
@@ -57,27 +67,34 @@ class FrameWriter:
     def __init__(self, sink, level: int = LEVEL):
         import zstandard
 
-        self.sink, self.entries, self.docs = sink, [], []
+        self.sink, self.entries, self.ids, self.null, self.size, self.tokens = sink, array("I"), array("q"), bytearray(), 0, 0
         self.compressor = zstandard.ZstdCompressor(level=level, write_checksum=True, write_content_size=True)
 
+    def __len__(self) -> int:
+        return len(self.null)
+
     def add(self, doc: int | None, ids: bytes) -> None:
         import xxhash
 
         frame = self.compressor.compress(ids)
         self.sink.write(frame)
-        self.entries.append((len(frame), len(ids), xxhash.xxh64_intdigest(ids) & 0xFFFFFFFF))
-        self.docs.append(doc)
+        self.size += len(frame)
+        self.tokens += len(ids) // 4
+        self.entries.extend((len(frame), len(ids), xxhash.xxh64_intdigest(ids) & 0xFFFFFFFF))
+        self.ids.append(doc or 0)
+        self.null.append(doc is None)
 
     def close(self) -> None:
-        docs = np.array([d or 0 for d in self.docs], dtype="<i8").tobytes() + bytes(d is None for d in self.docs)
+        docs = np.array(self.ids, dtype="<i8").tobytes() + bytes(self.null)
         self.sink.write(_u32(IDS_MAGIC, len(docs)) + docs)
-        rows = np.array(self.entries, dtype=_ENTRY).tobytes()
-        foot = _u32(len(self.entries)) + bytes([HAS_CHECKSUMS]) + _u32(SEEKABLE_MAGIC)
+        rows = np.array(self.entries, dtype="<u4").tobytes()
+        foot = _u32(len(self)) + bytes([HAS_CHECKSUMS]) + _u32(SEEKABLE_MAGIC)
         self.sink.write(_u32(TABLE_MAGIC, len(rows) + len(foot)) + rows + foot)
 
 
 class FrameReader:
-    """Random access to one file; ``source`` needs ``seek`` and ``read``, ``size`` is its length."""
+    """Random access to one file; ``source`` needs ``seek`` and ``read``, ``size`` is its length.
+    The documents' ids are read when they are first asked for."""
 
     def __init__(self, source, size: int):
         self.source = source
@@ -88,20 +105,30 @@ class FrameReader:
         self.entries = np.frombuffer(self._at(table, 12 * int(count)), dtype=_ENTRY)
         ends = np.cumsum(self.entries["packed"], dtype=np.int64)
         self.starts = ends - self.entries["packed"]
-        data = int(ends[-1]) if count else 0
-        magic, length = np.frombuffer(self._at(data, 8), dtype="<u4")
-        if magic != IDS_MAGIC or length != 9 * count:
-            raise ValueError("the frame of document ids is missing")
-        raw = self._at(data + 8, int(length))
-        ids, null = np.frombuffer(raw[: 8 * int(count)], dtype="<i8"), np.frombuffer(raw[8 * int(count) :], dtype="u1")
-        self.docs = [None if z else int(d) for d, z in zip(ids, null)]
+        self._end = int(ends[-1]) if count else 0
+        self._named = None
+
+    def _names(self) -> tuple[np.ndarray, np.ndarray]:
+        """The documents' ids and whether each is null."""
+        if self._named is None:
+            count = len(self)
+            magic, length = np.frombuffer(self._at(self._end, 8), dtype="<u4")
+            if magic != IDS_MAGIC or length != 9 * count:
+                raise ValueError("the frame of document ids is missing")
+            raw = self._at(self._end + 8, int(length))
+            self._named = np.frombuffer(raw[: 8 * count], dtype="<i8"), np.frombuffer(raw[8 * count :], dtype="u1").astype(bool)
+        return self._named
+
+    @property
+    def docs(self) -> list[int | None]:
+        return [None if z else int(d) for d, z in zip(*self._names())]
 
     def _at(self, start: int, length: int) -> bytes:
         self.source.seek(start)
         return self.source.read(length)
 
     def __len__(self) -> int:
-        return len(self.docs)
+        return len(self.entries)
 
     def ids(self, k: int) -> bytes:
         """The k-th document's ids, checked; reads and decompresses its frame only."""
@@ -113,6 +140,13 @@ class FrameReader:
             raise ValueError(f"frame {k} is damaged")
         return plain
 
+    def get(self, doc: int | None) -> list[bytes]:
+        """The ids of every document of this id, found by bisection; null ids stand first."""
+        names, null = self._names()
+        nulls = int(null.sum())
+        first, last = (0, nulls) if doc is None else (nulls + int(np.searchsorted(names[nulls:], doc, side)) for side in ("left", "right"))
+        return [self.ids(k) for k in range(first, last)]
+
 
 def _store(uri: str):
     from pyarrow import fs
@@ -120,44 +154,73 @@ def _store(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def write_frames(docs: DataFrame, folder: str, end_id: int = END_ID, vocabulary: str = "word_bpe_49k.json", files: int | None = None) -> list[tuple[int, str, int, int]]:
+#: One row per file, in order: place of its first document, path, documents, ids before it, its first and last document.
+Manifest = list[tuple[int, str, int, int, int | None, int | None]]
+
+
+def write_frames(docs: DataFrame, folder: str, end_id: int = END_ID, vocabulary: str = "word_bpe_49k.json", files: int | None = None, file_bytes: int = FILE_BYTES, file_docs: int = FILE_DOCS) -> Manifest:
     """Encodes documents (doc_id, text) into files below ``folder``, in ascending order of id.
 
-    Returns the manifest, one row per file in order: (first document's place, path, documents,
-    ids before the file).  It grows with the number of files, not of documents.
+    Returns the manifest.  It grows with the number of files, not of documents.
     """
     spark = docs.sparkSession
+    names = ["part", "turn", "path", "docs", "tokens", "first", "last"]
+    schema = pa.schema(list(zip(names, [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()])))
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        writer, tokens = None, 0
+        writer, sink, path, turn, first, last = None, None, "", 0, None, None
+
+        def closed() -> pa.RecordBatch:
+            writer.close()
+            sink.close()
+            return pa.RecordBatch.from_pydict(dict(zip(names, ([x] for x in (part, turn, path, len(writer), writer.tokens, first, last)))), schema=schema)
+
         for batch in batches:
-            if batch.num_rows and writer is None:
-                encode, end = word_ids(vocabulary).text, end_id.to_bytes(4, "little")
-                store, base = _store(folder)
-                store.create_dir(base, recursive=True)
-                path = f"part-{part:06d}-{uuid.uuid4().hex}.ids.zst"
-                sink = store.open_output_stream(f"{base}/{path}", compression=None)
-                writer = FrameWriter(sink)
+            if not batch.num_rows:
+                continue
+            encode, end = word_ids(vocabulary).text, end_id.to_bytes(4, "little")
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encode(text.as_py()) + end
-                writer.add(doc, ids)
-                tokens += len(ids) // 4
+                if writer is not None and (writer.size >= file_bytes or len(writer) >= file_docs):
+                    yield closed()
+                    writer, turn = None, turn + 1
+                if writer is None:
+                    store, base = _store(folder)
+                    store.create_dir(base, recursive=True)
+                    path, first = f"part-{part:06d}-{turn:04d}-{uuid.uuid4().hex}.ids.zst", doc
+                    sink = store.open_output_stream(f"{base}/{path}", compression=None)
+                    writer = FrameWriter(sink)
+                writer.add(doc, encode(text.as_py()) + end)
+                last = doc
         if writer is not None:
-            writer.close()
-            sink.close()
-            yield pa.RecordBatch.from_pydict({"part": [part], "path": [path], "docs": [len(writer.docs)], "tokens": [tokens]}, schema=pa.schema([("part", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())]))
+            yield closed()
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(files or 4 * partitions(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    written = sorted(map(tuple, rows.mapInArrow(write, "part int, path string, docs long, tokens long").collect()))
+    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    tasks = files or max(TASKS * partitions(spark), -(-rows.count() // TASK_ROWS))
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    dealt = rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+    written = sorted(dealt.mapInArrow(write, "part int, turn int, path string, docs long, tokens long, first long, last long").collect(), key=lambda r: (r["part"], r["turn"]))
     manifest, place, before = [], 0, 0
-    for _, path, n, tokens in written:
-        manifest.append((place, f"{folder}/{path}", n, before))
-        place, before = place + n, before + tokens
+    for r in written:
+        manifest.append((place, f"{folder}/{r['path']}", r["docs"], before, r["first"], r["last"]))
+        place, before = place + r["docs"], before + r["tokens"]
     return manifest
 
 
-def read_frames(spark: SparkSession, manifest: list[tuple[int, str, int, int]], with_ids: bool = False) -> DataFrame:
+def lookup(manifest: Manifest, doc: int | None) -> list[bytes]:
+    """The ids of every document of this id: opens only the files that may hold it, reads their
+    tables and its frames."""
+    low = lambda x: (x is not None, x or 0)
+    found = []
+    for _, path, _, _, first, last in manifest:
+        if low(first) <= low(doc) <= low(last):
+            store, base = _store(path)
+            with store.open_input_file(base) as source:
+                found += FrameReader(source, source.size()).get(doc)
+    return found
+
+
+def read_frames(spark: SparkSession, manifest: Manifest, with_ids: bool = False) -> DataFrame:
     """Reads every document of the manifest's files back: doc_id, start, n_tokens, ids_crc32 and,
     if asked for, ids."""
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
@@ -170,15 +233,16 @@ def read_frames(spark: SparkSession, manifest: list[tuple[int, str, int, int]],
                 store, base = _store(path)
                 with store.open_input_file(base) as source:
                     reader = FrameReader(source, source.size())
+                    docs = reader.docs
                     for first in range(0, len(reader), 2000):
                         rows = []
                         for k in range(first, min(first + 2000, len(reader))):
                             ids = reader.ids(k)
-                            rows.append((reader.docs[k], start, len(ids) // 4, zlib.crc32(ids)) + (ids,) * with_ids)
+                            rows.append((docs[k], start, len(ids) // 4, zlib.crc32(ids)) + (ids,) * with_ids)
                             start += len(ids) // 4
                         yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows), types)], names=names)
 
-    files = spark.createDataFrame(manifest, "place long, path string, docs long, before long")
+    files = spark.createDataFrame(manifest, "place long, path string, docs long, before long, first long, last long")
     dealt = files.repartition(max(1, min(len(manifest), 4 * partitions(spark))), "path")
     return dealt.mapInArrow(read, schema)
 
