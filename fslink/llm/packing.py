@@ -4,18 +4,23 @@ A document's ids (with its end id) are cut at multiples of the capacity.  Whole
 sequence each.  The remainders are packed block by block: every remainder starts as a partition of
 its block into ``k`` windows of which one is filled; the two partial partitions with the largest
 imbalance are merged again and again, the fullest window of one with the emptiest of the other,
-until one near-equal partition is left.  ``k`` starts at the least number of windows that can hold
-the block and rises by one whenever the fullest window exceeds the capacity.
+until one near-equal partition is left.  ``k`` is the least number of windows that can hold the block.
+What a window has above the capacity is cut off one of its pieces and put where there is room;
+if there is none ``k`` rises by one.
+
+Only lengths are shuffled.  A piece brings the checksums of its beginnings at every ``GRID`` ids, so it
+can be cut there later and the checksums of both parts follow, without its ids.
 
 Defined results: a null text counts as empty (its document still has the end id), null ids stay
-null, repeated rows are packed as separate documents, an empty table gives an empty table, other
-columns are ignored.
+null, repeated rows are packed as separate documents (equal rows, id and text, are dealt to one task), an empty table gives an empty table, other
+columns are ignored.  A very long text is encoded in memory: 4 bytes a token, and the text.
 """
 
 from __future__ import annotations
 
 import heapq
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -23,7 +28,6 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from fslink.llm.common import cut
 from fslink.llm.word_bpe import word_ids
@@ -31,9 +35,13 @@ from fslink.llm.word_bpe import word_ids
 CAPACITY = 4096
 END_ID = 2
 #: Remainders packed together.  A block's merges take time in proportion to its square.
-BLOCK = 512
+BLOCK = 1024
 #: Blocks in a task.
-BLOCKS_A_TASK = 8
+BLOCKS_A_TASK = 4
+#: Ids between places where a remainder may be cut.
+GRID = 16
+# Fixed value: the polynomial of CRC-32, reflected.
+POLYNOMIAL = 0xEDB88320
 
 
 def differencing(sizes: np.ndarray, k: int) -> np.ndarray:
@@ -73,25 +81,92 @@ def differencing(sizes: np.ndarray, k: int) -> np.ndarray:
     return window
 
 
-def windows(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
-    """The window of each size, with no window above ``capacity``; sizes are at most that."""
+def filled(sizes: np.ndarray, capacity: int = CAPACITY, grid: int = GRID) -> list[tuple[int, int, int, int]]:
+    """(item, from, to, window) of every part of the items; no window above ``capacity``, cuts at
+    multiples of ``grid`` only, as few windows as can be."""
     k = max(1, -(-int(sizes.sum()) // capacity))
     while True:
         found = differencing(sizes, k)
-        if np.bincount(found, weights=sizes, minlength=1).max(initial=0) <= capacity:
-            return found
+        sums = np.bincount(found, weights=sizes, minlength=k).astype(np.int64)
+        parts = {i: (i, 0, int(size), int(w)) for i, (size, w) in enumerate(zip(sizes, found))}
+        loose = []
+        for w in np.flatnonzero(sums > capacity):
+            members = np.flatnonzero(found == w)
+            i = int(members[sizes[members].argmax()])
+            stay = max(0, (int(sizes[i]) - int(sums[w] - capacity)) // grid * grid)
+            loose.append((i, stay, int(sizes[i])))
+            sums[w] -= int(sizes[i]) - stay
+            if stay:
+                parts[i] = (i, 0, stay, int(w))
+            else:
+                del parts[i]
+        out = [*parts.values()]
+        room = [(-int(capacity - s), w) for w, s in enumerate(sums) if s < capacity]
+        heapq.heapify(room)
+        loose.sort(key=lambda x: x[1] - x[2])
+        while loose and room:
+            i, a, b = loose.pop(0)
+            free, w = heapq.heappop(room)
+            fits = min(b - a, -free if b - a <= -free else -free // grid * grid)
+            if fits <= 0:  # not even the roomiest window takes a part
+                loose.insert(0, (i, a, b))
+                break
+            out.append((i, a, a + fits, w))
+            if -free - fits > 0:
+                heapq.heappush(room, (free + fits, w))
+            if a + fits < b:
+                loose.insert(0, (i, a + fits, b))
+        if not loose:
+            return out
+        k += 1
+
+
+def _shifts() -> list[list[int]]:
+    """For each power of two bytes the 32 columns of the matrix that appends so many zero bytes."""
+    m = [POLYNOMIAL, *(1 << k for k in range(31))]  # one zero bit
+    for _ in range(3):
+        m = [_times(m, c) for c in m]
+    out = []
+    for _ in range(32):
+        out.append(m)
+        m = [_times(m, c) for c in m]
+    return out
+
+
+def _times(matrix: list[int], vector: int) -> int:
+    total, k = 0, 0
+    while vector:
+        if vector & 1:
+            total ^= matrix[k]
+        vector >>= 1
         k += 1
+    return total
+
 
+_SHIFTS = _shifts()
 
-def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str = "word_bpe_49k.json", with_ids: bool = False) -> DataFrame:
-    """The pieces of each document's ids: doc_id, start, length, ids_crc32, doc_tokens and, if
-    asked for, ids (little-endian unsigned 32-bit integers, as binary)."""
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
+
+def checksum_between(before: int, whole: int, length: int) -> int:
+    """The CRC-32 of the last ``length`` bytes of what has the checksum ``whole``, given that of what
+    stands before them."""
+    k = 0
+    while length:
+        if length & 1:
+            before = _times(_SHIFTS[k], before)
+        length >>= 1
+        k += 1
+    return whole ^ before
+
+
+def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str = "word_bpe_49k.json", grid: int = GRID) -> DataFrame:
+    """The pieces of each document's ids: doc_id, start, length, ids_crc32, doc_tokens, and grid, the
+    checksums of a remainder's beginnings at every ``grid`` ids (little-endian unsigned 32-bit)."""
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, grid binary"
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "grid"]
+    types = [pa.int64()] * 5 + [pa.binary()]
 
     def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = word_ids(vocabulary).text, end_id.to_bytes(4, "little")
-        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids
-        types = [pa.int64()] * 5 + [pa.binary()] * with_ids
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -99,24 +174,30 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID
                 total = len(ids) // 4
                 for s in range(0, total, capacity):
                     part = ids[4 * s : 4 * (s + capacity)]
-                    rows.append((doc, s, len(part) // 4, zlib.crc32(part), total) + (bytes(part),) * with_ids)
+                    check, marks = 0, array("I")
+                    if len(part) == 4 * capacity:
+                        check = zlib.crc32(part)
+                    else:
+                        for at in range(0, len(part), 4 * grid):
+                            check = zlib.crc32(part[at : at + 4 * grid], check)
+                            marks.append(check)
+                    rows.append((doc, s, len(part) // 4, check, total, marks.tobytes()))
             columns = list(zip(*rows)) if rows else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types)], names=names)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(pieces, schema)
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK) -> DataFrame:
-    """Adds sequence_id and offset to pieces (doc_id, start, length, ids_crc32, ...) of at most
-    ``capacity`` tokens.
+def pack(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, grid: int = GRID) -> DataFrame:
+    """The pieces (as of ``token_pieces``), some of them cut once more, with sequence_id and offset:
+    doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Rows are dealt by a hash of their document's id and start, sorted in each task and packed in
+    Rows are dealt by a hash of what they are, sorted in each task and packed in
     blocks, so a rerun gives the same sequences.  Offsets in a sequence are gapless from 0.
     """
-    table = cut(pieces, "pieces")
+    table = cut(pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "grid"), "pieces")
     tasks = max(1, table.count() // (block * BLOCKS_A_TASK))
-    fields = table.schema.names
-    at = {n: fields.index(n) for n in ("length",)}
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 40
@@ -125,42 +206,44 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK) -> Dat
 
         def packed(rows: pa.RecordBatch) -> pa.RecordBatch:
             nonlocal used
-            sizes = rows.column(at["length"]).to_numpy(zero_copy_only=False)
-            whole = sizes >= capacity
-            seq = np.empty(len(sizes), dtype=np.int64)
-            seq[whole] = np.arange(int(whole.sum()))
-            n = int(whole.sum())
-            if n < len(sizes):
-                found = windows(sizes[~whole], capacity)
-                _, dense = np.unique(found, return_inverse=True)
-                seq[~whole] = n + dense
-                n += int(dense.max()) + 1
-            order = np.argsort(seq, kind="stable")
-            ends = np.cumsum(sizes[order])
-            starts = ends - sizes[order]
-            heads = np.r_[True, np.diff(seq[order]) != 0]
-            offset = np.empty(len(sizes), dtype=np.int64)
-            offset[order] = starts - np.maximum.accumulate(np.where(heads, starts, 0))
-            out = pa.RecordBatch.from_arrays([*rows.columns, pa.array(first + used + seq), pa.array(offset)], names=[*fields, "sequence_id", "offset"])
-            used += n
-            return out
+            start, sizes, check = (rows.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 3))
+            whole, rest = np.flatnonzero(sizes >= capacity), np.flatnonzero(sizes < capacity)
+            parts = [(int(i), 0, capacity, n) for n, i in enumerate(whole)]
+            if len(rest):
+                found = filled(sizes[rest], capacity, grid)
+                _, dense = np.unique([w for *_, w in found], return_inverse=True)
+                parts += [(int(rest[i]), a, b, len(whole) + int(w)) for (i, a, b, _), w in zip(found, dense)]
+            parts.sort(key=lambda p: (p[3], p[0], p[1]))
+            item, begin, end, seq = (np.array(c, dtype=np.int64) for c in zip(*parts))
+            length = end - begin
+            checks = check[item].copy()
+            for n in np.flatnonzero(length < sizes[item]):
+                marks = np.frombuffer(rows.column(5)[int(item[n])].as_py(), dtype="<u4")
+                upto = lambda x, n=n, marks=marks: 0 if x == 0 else int(check[item[n]]) if x == sizes[item[n]] else int(marks[x // grid - 1])
+                checks[n] = checksum_between(upto(int(begin[n])), upto(int(end[n])), 4 * int(length[n]))
+            ends = np.cumsum(length)
+            heads = np.r_[True, np.diff(seq) != 0]
+            offset = ends - length - np.maximum.accumulate(np.where(heads, ends - length, 0))
+            out = [rows.column(0).take(pa.array(item)), pa.array(start[item] + begin), pa.array(length), pa.array(checks), rows.column(4).take(pa.array(item)), pa.array(first + used + seq), pa.array(offset)]
+            used += int(seq[-1]) + 1
+            return pa.RecordBatch.from_arrays(out, names=names)
 
         def joined() -> pa.RecordBatch:
             return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
-        rest = 0
+        waiting = 0
         for batch in batches:
             if batch.num_rows:
                 held.append(batch)
-                rest += batch.num_rows
-            while rest >= 2 * block:  # the last block has one to two times the rows
+                waiting += batch.num_rows
+            while waiting >= 2 * block:  # the last block has one to two times the rows
                 rows = joined()
                 yield packed(rows.slice(0, block))
-                held, rest = [rows.slice(block)], rest - block
-        if rest:
+                held, waiting = [rows.slice(block)], waiting - block
+        if waiting:
             yield packed(joined())
 
-    schema = T.StructType([*table.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     order = ["doc_id", "start", "length", "ids_crc32"]
-    dealt = table.repartition(tasks, F.xxhash64("doc_id", "start")).sortWithinPartitions(F.xxhash64("doc_id", "start"), *order)
-    return dealt.mapInArrow(place, schema)
+    key = F.xxhash64(*order)
+    dealt = table.repartition(tasks, key).sortWithinPartitions(key, *order)
+    return dealt.mapInArrow(place, ", ".join(f"{n} long" for n in names))

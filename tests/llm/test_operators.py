@@ -358,13 +358,20 @@ def test_packing(docs, empty):
             assert offset == end
             end += length
         assert end <= 4096
-    want = Counter()
+    of = {doc: [] for doc, *_ in ROWS}
     for doc, text, *_ in ROWS:
-        ids = full.encode(text or "", add_special_tokens=False).ids + [2]
-        for s in range(0, len(ids), 4096):
-            part = np.array(ids[s : s + 4096], dtype="<u4").tobytes()
-            want[doc, s, len(part) // 4, zlib.crc32(part), len(ids)] += 1
-    assert Counter((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in got) == want
+        of[doc].append(full.encode(text or "", add_special_tokens=False).ids + [2])
+    pieces = {doc: [] for doc in of}
+    for r in got:
+        pieces[r.doc_id].append(r)
+    for doc, whole in of.items():
+        covered = Counter()
+        for r in pieces[doc]:
+            ids = next(x for x in whole if len(x) == r.doc_tokens)
+            part = np.array(ids[r.start : r.start + r.length], dtype="<u4").tobytes()
+            assert zlib.crc32(part) == r.ids_crc32 and len(part) == 4 * r.length
+            covered.update((r.doc_tokens, k) for k in range(r.start, r.start + r.length))
+        assert covered == Counter((len(x), k) for x in whole for k in range(len(x)))
     assert packing.pack(packing.token_pieces(empty)).count() == 0
 
 
@@ -377,7 +384,27 @@ def test_differencing():
         assert found.min() >= 0 and found.max() < k and sums.sum() == sizes.sum()
         if n >= 40:
             assert sums.max() - sums.min() < 0.5 * sizes.mean()
-    assert np.bincount(packing.windows(np.full(10, 2049)), weights=np.full(10, 2049)).max() <= 4096
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_windows_are_full_and_parts_whole(seed):
+    rng = np.random.default_rng(seed)
+    sizes = np.minimum(4095, 1 + rng.gamma(0.7, 900, 700).astype(int)) if seed < 4 else np.full(40, 2049) if seed == 4 else np.array([1])
+    parts = packing.filled(sizes)
+    covered = Counter((i, x) for i, a, b, _ in parts for x in range(a, b))
+    assert covered == Counter((i, x) for i, n in enumerate(sizes) for x in range(n))
+    assert all(a % packing.GRID == 0 and a < b for _, a, b, _ in parts)
+    sums = Counter()
+    for _, a, b, w in parts:
+        sums[w] += b - a
+    assert max(sums.values()) <= 4096
+    assert len(sums) <= -(-int(sizes.sum()) // 4096) + 1
+
+
+def test_checksums_of_parts():
+    data = np.random.default_rng(1).bytes(40_000)
+    for a, b in ((0, 40_000), (64, 40_000), (128, 192), (39_936, 40_000), (0, 64)):
+        assert packing.checksum_between(zlib.crc32(data[:a]), zlib.crc32(data[:b]), b - a) == zlib.crc32(data[a:b])
 
 
 def test_fingerprints(docs, empty, spark):
