@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fslink import linker, serve
 from fslink.functions import display as D
 from fslink.functions import evidence as E
-from fslink.operators import extract, graph, model
+from fslink.operators import extract, graph, knn, model
 from fslink.operators import frequencies as Q
 from fslink.operators import normalise as N
 from fslink.operators import scoring as S
@@ -227,6 +227,15 @@ def _labelled_context(spark, d):
     return linker.context(v, LinkageSpec(id="id", cls="cls", entity="entity"), ALPHA_SAME, REFERENCE, near=settle(_vectors(spark, d)))
 
 
+@query
+def probed_recall(spark, d):
+    vectors = table(spark, d, "embeddings")
+    near = knn.probed_top_k(vectors, 10, "vec_id", "embedding", list_rows=64)
+    hits = near.join(_vectors(spark, d, 10), ["case_id", "partner_id"], "left_semi").count()
+    n = vectors.count()
+    return spark.createDataFrame([(n, hits >= 0.9 * 10 * n)], "queries long, enough boolean")
+
+
 @query
 def multi_k_recall(spark, d):
     made = _labelled_context(spark, d)

@@ -76,6 +76,7 @@ ORACLES: dict[str, str] = {
     "candidate_scores": f"{_scored(f'{ALPHA}, {NEAR}, pairs AS (SELECT DISTINCT least(case_id, partner_id) AS id_a, greatest(case_id, partner_id) AS id_b FROM near)', CROSS)} SELECT t.id_a, t.id_b, t.pair_class, coalesce(CAST(a.entity = b.entity AS INTEGER), 0) AS label, round(t.total_bits, 6) AS raw FROM totals t JOIN cases a ON a.id = t.id_a JOIN cases b ON b.id = t.id_b",
     "model_scores": f"{_scored(PAIRS)}, w AS (SELECT id_a, id_b, {FEATURES} FROM con GROUP BY 1, 2), s AS (SELECT id_a, id_b, 0.5 * status - 0.25 * segment + quarter + 0.75 * flags + 0.125 * region - 1.5 AS s FROM w) SELECT id_a, id_b, round(s, 6) AS score, round(CASE WHEN s <= -2 THEN 0.0 WHEN s <= -1 THEN (s + 2) * 0.125 WHEN s <= 0 THEN 0.125 + (s + 1) * 0.375 WHEN s <= 1.5 THEN 0.5 + s * 0.25 ELSE 0.875 END, 6) AS calibrated FROM s",
     "split_pairs": f"{C}, k AS (SELECT id, cls, entity FROM cases WHERE {SPLIT} >= 0.55 AND {SPLIT} < 0.70) SELECT a.id AS id_a, b.id AS id_b, CASE WHEN a.cls = b.cls THEN 'same_type' ELSE 'cross_type' END AS pair_class FROM k a JOIN k b ON a.entity = b.entity AND a.id < b.id",
+    "probed_recall": "SELECT count(*) AS queries, true AS enough FROM embeddings",
     "multi_k_recall": f"WITH {NEAR}, {LABELLED}, q AS (SELECT k, b.pair_class, b.case_id, count(n.case_id) / count(*) AS recall FROM (SELECT unnest([10, 20, 50]) AS k) CROSS JOIN both_ways b LEFT JOIN near n ON n.case_id = b.case_id AND n.partner_id = b.partner_id AND n.retrieval_rank <= k GROUP BY 1, 2, 3) SELECT CAST(k AS BIGINT) AS k, pair_class, count(*) AS queries, round(avg(recall), 6) AS recall FROM q GROUP BY 1, 2",
     "onehot_keys": f"{C}, k AS (SELECT id, list_sort(list_concat(list_filter(['status=' || status, 'segment=' || segment, 'quarter=' || quarter, 'region=' || region, 'season=' || season], lambda x: x IS NOT NULL), coalesce(list_transform(flags, lambda f: 'flags=' || f), []))) AS keys FROM cases) SELECT id, array_to_string(keys, ',') AS keys, round(1 / sqrt(len(keys)), 6) AS weight FROM k",
     "raw_comparison": f"{C}, l AS (SELECT id, unnest(['status', 'segment', 'quarter', 'flags']) AS field, unnest([status, segment, quarter, CASE WHEN len(flags) = 0 THEN 'none' ELSE array_to_string(flags, ', ') END]) AS v FROM cases WHERE id IN (7, 11)) SELECT a.field, a.v AS value_a, b.v AS value_b FROM l a JOIN l b ON a.field = b.field AND a.id = 7 AND b.id = 11 WHERE a.v IS NOT NULL AND b.v IS NOT NULL",

@@ -261,3 +261,26 @@ def test_stream(spark, tmp_path):
             spark.range(3, 8).write.mode("append").parquet(source)
         ingest(file_stream(spark, source, schema), target, state, "id").awaitTermination()
     assert sorted(r.id for r in spark.read.parquet(target).collect()) == list(range(8))
+    # With a time, repeats within the delay are known from the stream's state.
+    source, target, state = (str(tmp_path / x) for x in ("in2", "out2", "state2"))
+    spark.range(5).withColumn("at", F.timestamp_seconds(F.lit(10**9))).write.parquet(source)
+    schema = spark.read.parquet(source).schema
+    for more in (0, 3):
+        if more:
+            spark.range(3, 8).withColumn("at", F.timestamp_seconds(F.lit(10**9 + 60))).write.mode("append").parquet(source)
+        ingest(file_stream(spark, source, schema), target, state, "id", at="at").awaitTermination()
+    assert sorted(r.id for r in spark.read.parquet(target).collect()) == list(range(8))
+
+
+def test_inverted_file(spark):
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=(12, 16))
+    v = np.concatenate([centre[rng.integers(0, 12, 700)] + rng.normal(0, 0.35, (700, 16)), np.tile(centre[:1], (300, 1)) + rng.normal(0, 0.01, (300, 16))])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "case_id long, vector array<double>")
+    near = knn.probed_top_k(rows, 5, list_rows=50, checked=100)
+    exact = knn.top_k(rows, 5)
+    assert near.count() == 5000 and near.join(exact, ["case_id", "partner_id"], "left_semi").count() >= 0.88 * 5000
+    sims = {(r.case_id, r.partner_id): r.sim for r in near.collect()}
+    assert all(s == pytest.approx(float(np.round(v[a] @ v[b], 6)), abs=2e-6) for (a, b), s in list(sims.items())[:500])
+    assert knn.probed_top_k(rows.limit(0), 5).count() == 0 and knn.probed_top_k(rows.limit(1), 5).count() == 0
