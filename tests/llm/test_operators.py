@@ -74,9 +74,11 @@ def test_word_cache_is_bounded(monkeypatch):
     from fslink.llm import word_bpe
 
     monkeypatch.setattr(word_bpe, "CACHE_WORDS", 10)
+    monkeypatch.setattr(word_bpe, "CACHE_CHUNKS", 10)
     cache = word_bpe.WordIds(public_tokenizers.path("word_bpe_49k.json"))
     want = word_ids().text(LONG)
-    assert cache.text(LONG) == want and len(cache) <= 10 and len(cache.old) <= 10
+    assert cache.text(LONG) == want and cache.text(LONG + "\t") == want
+    assert all(0 < len(c) <= 10 and len(c.old) <= 10 for c in (cache, cache.parts))
 
 
 def test_line_rules(docs):
