@@ -233,8 +233,10 @@ def corpus(spark: SparkSession, world: World, cases: int, serial_fraction: float
 
 
 def uniform(seed: int, slot: str, *keys: str | Column) -> Column:
-    """A number in [0, 1) that depends on the row's keys, the slot and the seed alone."""
-    return F.pmod(F.xxhash64(F.lit(seed), F.lit(slot), *keys), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    """A number in [0, 1) that depends on the row's keys, the slot and the seed alone: the first 32 bits
+    of an MD5."""
+    told = F.concat_ws(":", F.lit(str(seed)), F.lit(slot), *((F.col(k) if isinstance(k, str) else k).cast("string") for k in keys))
+    return F.conv(F.substring(F.md5(told), 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
 
 
 def neighbours_of(edges: list[tuple[str, str]]) -> dict[str, list[str]]:

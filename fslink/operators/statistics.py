@@ -134,6 +134,18 @@ def feed_positions(rows: DataFrame, keys: list[str], order: list[str]) -> DataFr
     return found.withColumn("position", F.col("position") - 1).withColumnRenamed("position_all", "total")
 
 
+def cdf_draw(u: Column, chances: dict[str, float]) -> Column:
+    """The first value whose cumulative chance lies above u, the last if none does."""
+    total, out = sum(chances.values()), F.lit(list(chances)[-1])
+    steps, run = [], 0.0
+    for value, p in chances.items():
+        run += p
+        steps.append((run, value))
+    for upto, value in reversed(steps[:-1]):
+        out = F.when(u * total < upto, value).otherwise(out)
+    return out
+
+
 def corpus_counts(cases: DataFrame, entity: str, place: str, least: int = 2) -> DataFrame:
     """One row: cases, serial_entities (of at least so many cases), serial_cases, relocated_entities
     (serial ones of more than one place)."""

@@ -123,6 +123,15 @@ def cross_validated_auc(table: DataFrame, features: list[str], folds: int = 5) -
     return sum(found) / folds
 
 
+def metadata_facts(cases: DataFrame, *keep: str) -> DataFrame:
+    """(case_id, ..., place, hash, serial, day): a case's place in its feed, 0 to 1; its id as a fraction; its
+    register number; the day it was registered."""
+    return cases.select(
+        "case_id", *keep, (F.col("position") / F.greatest("total", F.lit(1))).alias("place"), (F.conv(F.substring("case_id", 1, 8), 16, 10).cast("double") / float(1 << 32)).alias("hash"),
+        F.split_part("fir_no", F.lit("/"), F.lit(2)).cast("double").alias("serial"), (F.unix_seconds("registered_at") / 86400).alias("day"),
+    )
+
+
 def leakage(cases: DataFrame, folds: int = 5, seed: int = 1) -> dict:
     """How much position in the feed, the id's hash and the register number tell about entities
     beyond the time between two cases: the AUC that they add, which must stay below 0.01.
@@ -130,10 +139,7 @@ def leakage(cases: DataFrame, folds: int = 5, seed: int = 1) -> dict:
     Needs case_id, entity, police_station, fir_no and registered_at, plus position and total of the
     feed (``statistics.feed_positions``).
     """
-    facts = cases.select(
-        "case_id", "entity", "police_station", (F.col("position") / F.greatest("total", F.lit(1))).alias("place"), (F.conv(F.substring("case_id", 1, 8), 16, 10).cast("double") / float(1 << 32)).alias("hash"),
-        F.split_part("fir_no", F.lit("/"), F.lit(2)).cast("double").alias("serial"), (F.unix_seconds("registered_at") / 86400).alias("day"),
-    )
+    facts = metadata_facts(cases, "entity", "police_station")
     pairs = contrasted_pairs(facts, "entity", "case_id", ["police_station", "place", "hash", "serial", "day"], seed)
     gap = lambda c: F.abs(F.col(f"a.{c}") - F.col(f"b.{c}"))
     near = F.when(F.col("a.police_station") == F.col("b.police_station"), F.log1p(gap("serial"))).otherwise(-1.0)

@@ -4,23 +4,25 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fslink import linker, serve
 from fslink.functions import display as D
 from fslink.functions import evidence as E
-from fslink.operators import extract, graph, knn, model
+from fslink.operators import extract, graph, knn, model, studies
 from fslink.operators import frequencies as Q
 from fslink.operators import normalise as N
 from fslink.operators import scoring as S
 from fslink.operators import statistics as T
 from fslink.operators.embed import OneHot
+from fslink.operators.generate import ValueModel, recorded, uniform
 from fslink.plans.queries import CLUSTER_SIM, QUERIES, _r, _scored, _vectors, query
 from fslink.plans.views import ALPHA_SAME, SPEC, cases, table
 from fslink.sources import files, tables
 from fslink.sources.shared import settle, shared_path
-from fslink.spec import LinkageSpec
+from fslink.spec import CORE, EXT, FieldSpec, LinkageSpec
 
 __all__ = ["QUERIES"]
 REFERENCE = 0.1
@@ -347,6 +349,58 @@ def case_with_truth(spark, d):
     return tables.with_truth(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), truth, "o_orderkey")
 
 
+@query
+def chunk_ids(spark, d):
+    return tables.chunks(table(spark, d, "orders").select("o_orderkey"), "o_orderkey").withColumn("chunk", F.col("chunk").cast("long"))
+
+
+@query
+def metadata_facts(spark, d):
+    orders = table(spark, d, "orders")
+    rows = orders.select(E.case_id(F.lit("X"), F.col("o_orderkey"), F.year("o_orderdate")).alias("case_id"), F.col("o_orderstatus").alias("state_code"), F.concat_ws("/", F.lit("ST"), F.lpad((F.col("o_orderkey") % 997).cast("string"), 4, "0"), F.year("o_orderdate").cast("string")).alias("fir_no"), F.col("o_orderdate").cast("timestamp").alias("registered_at"))
+    found = studies.metadata_facts(T.feed_positions(rows, ["state_code"], ["registered_at", "case_id"]))
+    return found.select("case_id", _r("place"), F.round("hash", 9).alias("hash"), "serial", _r("day"))
+
+
+DROPOUT = {"1": {"default": 0.1}, "2": {"status": 0.3, "default": 0.05}, "3": {"default": 0.0}}
+CONFUSION = {"1": 0.2, "2": 0.0, "3": 0.5}
+CONFUSABLE = {"status": [("F", "O"), ("O", "P")], "segment": [("BUILDING", "MACHINERY")]}
+
+
+@query
+def recording_errors(spark, d):
+    rows = cases(spark, d).select(F.col("id").alias("case_id"), F.substring("cls", 1, 1).alias("state_code"), "status", "segment")
+    return recorded(rows, ["status", "segment"], DROPOUT, CONFUSION, CONFUSABLE, {"3": ["segment"]}, 7).select("case_id", "rec_status", "rec_segment")
+
+
+@query
+def cumulative_offsets(spark, d):
+    events = table(spark, d, "events").select("event_id", "user_id", "ts")
+    found = T.running(events, ["user_id"], [F.asc("ts"), F.asc("event_id")], {"offset": F.col("event_id") % 17})
+    return found.select("event_id", "user_id", "offset", F.col("offset_all").alias("span"))
+
+
+@query
+def drawn_values(spark, d):
+    rows = table(spark, d, "orders").select("o_orderkey", uniform(7, "value", "o_orderkey").alias("u"))
+    return rows.select("o_orderkey", _r("u"), T.cdf_draw(F.col("u"), {"night": 0.5, "day": 0.3, "early": 0.2}).alias("value"))
+
+
+@query
+def applicable_fields(spark, d):
+    spec = LinkageSpec(fields=tuple(FieldSpec(f, section=CORE if f in VOCABULARY.core else EXT, families=tuple(VOCABULARY.families_with(f) or ())) for f in VOCABULARY.every), family_of=VOCABULARY.family_of)
+    return spark.createDataFrame([(cls, k, f) for cls in VOCABULARY.classes for k, f in enumerate(spec.applicable(cls), 1)], "cls string, place long, field string")
+
+
+@query
+def tilted_chances(spark, d):
+    one = ValueModel(("a", "b", "c"), (0.5, 0.3, 0.2), ((1.0, 0.0), (0.0, -1.0), (0.5, 0.5)))
+    many = ValueModel(("t", "u", "v"), (0.1, 0.6, 1.0), one.loading, True)
+    style = np.array([0.8, -0.4])
+    rows = [(kind, tau, v, float(p)) for kind, m in (("one", one), ("many", many)) for tau in (0.0, 0.75) for v, p in zip(m.values, m.tilted(style, tau))]
+    return spark.createDataFrame(rows, "kind string, tau double, value string, p double").withColumn("p", F.round("p", 9))
+
+
 # The service
 
 

@@ -26,8 +26,8 @@ def _provenance(source: str = "source") -> str:
     return "concat_ws(',', " + ", ".join(f"CASE WHEN {c} IS NULL THEN '{f}' ELSE '{f}={'source' if f == 'time_band' else source}' END" for f, c in (("time_band", "time_band"), ("group", "group_"), ("tools", "tools"), ("target", "target"), ("door", "door"))) + ")"
 
 
-FREE = f"""SELECT case_id, state_code, NULL AS district, crime_type, family, '2021-03-04 22:30' AS occurred_from, '2021-03-05 00:30' AS occurred_to, '2021-03-06 08:00' AS registered_at, time_band, group_ AS "group", tools, target, door,
-  NULL AS time_band__status, CASE WHEN group_ IS NULL THEN '__MISSING__' END AS group__status, CASE WHEN tools IS NULL THEN '__MISSING__' END AS tools__status, CASE WHEN target IS NULL THEN '__MISSING__' END AS target__status, CASE WHEN family = 'house' THEN '__MISSING__' END AS door__status, {_provenance('llm_extracted')} AS provenance, true AS needs_enrichment
+FREE = f"""SELECT case_id, state_code, CAST(NULL AS VARCHAR) AS district, crime_type, family, '2021-03-04 22:30' AS occurred_from, '2021-03-05 00:30' AS occurred_to, '2021-03-06 08:00' AS registered_at, time_band, group_ AS "group", tools, target, door,
+  CAST(NULL AS VARCHAR) AS time_band__status, CASE WHEN group_ IS NULL THEN '__MISSING__' END AS group__status, CASE WHEN tools IS NULL THEN '__MISSING__' END AS tools__status, CASE WHEN target IS NULL THEN '__MISSING__' END AS target__status, CASE WHEN family = 'house' THEN '__MISSING__' END AS door__status, {_provenance('llm_extracted')} AS provenance, true AS needs_enrichment
 FROM (SELECT substr(sha1('Z' || doc_id || '2021'), 1, 16) AS case_id, 'Z' AS state_code, CASE lang WHEN 'en' THEN 'HOME' WHEN 'de' THEN 'SHOP' ELSE 'CAR' END AS crime_type, CASE lang WHEN 'fr' THEN 'vehicle' ELSE 'house' END AS family, 'night' AS time_band, CASE WHEN contains(t, ' on ') THEN '1' WHEN contains(t, 'the') THEN '2-3' WHEN contains(t, 'der') THEN '4+' END AS group_,
   CASE WHEN contains(t, 'with') AND contains(t, 'from') THEN 'crowbar;cutter' WHEN contains(t, 'with') THEN 'crowbar' WHEN contains(t, 'from') THEN 'cutter' WHEN contains(t, 'is') THEN '' END AS tools, CASE WHEN contains(t, 'for') THEN 'shop' END AS target, CAST(NULL AS VARCHAR) AS door
   FROM (SELECT *, lower(coalesce(text, '')) AS t FROM documents) WHERE lang IN ('en', 'de', 'fr'))"""
@@ -62,6 +62,12 @@ EXAMPLE = """(VALUES (1, 'entry point', 'roof', 0.06, true), (2, 'entry method',
 FEATURES = ", ".join(f"coalesce(sum(bits) FILTER (WHERE split_part(field, ':', 1) = '{f}'), 0) AS {f}" for f in ("status", "segment", "quarter", "flags", "region", "season"))
 SPLIT = "CAST(('0x' || substr(md5('7:' || entity), 1, 8)) AS BIGINT) / 4294967296"
 
+
+
+def _uniform(slot: str, key: str = "id") -> str:
+    return f"CAST('0x' || substr(md5('7:{slot}:' || {key}), 1, 8) AS BIGINT) / 4294967296"
+
+
 ORACLES: dict[str, str] = {
     "csv_feeds": "SELECT o_orderpriority AS HEAD, count(*) AS n, count(*) FILTER (WHERE o_orderkey % 7 = 0) AS blank FROM orders GROUP BY 1",
     "normalise_feed": f"""WITH {FEED}, p AS (SELECT *, CAST(NULL AS VARCHAR) AS target FROM n) SELECT case_id, state_code, district, crime_type, family, strftime(beg, '%Y-%m-%d %H:%M') AS occurred_from, strftime(fin, '%Y-%m-%d %H:%M') AS occurred_to, strftime(registered, '%Y-%m-%d %H:%M') AS registered_at, time_band, group_ AS "group", tools, target, door, time_band__status, group__status, tools__status, '__ABSENT__' AS target__status, door__status, {_provenance()} AS provenance, 'Order, ' || k AS narrative_text, false AS needs_enrichment FROM p""",
@@ -93,6 +99,16 @@ ORACLES: dict[str, str] = {
     "demo_export": f"{RANKED}, {EXAMPLES}, ids AS (SELECT case_id FROM pick UNION SELECT partner_id FROM links WHERE case_id IN (SELECT case_id FROM pick)) SELECT c.id AS case_id, c.cls, l.links FROM cases c LEFT JOIN (SELECT case_id, count(*) AS links FROM links WHERE case_id IN (SELECT case_id FROM ids) GROUP BY 1) l ON l.case_id = c.id WHERE c.id IN (SELECT case_id FROM ids)",
     "truth_recorded": "SELECT o_orderkey, o_orderstatus AS status, CASE WHEN o_orderkey % 4 > 0 THEN o_orderstatus END AS rec_status FROM orders WHERE o_orderkey % 3 = 0",
     "case_with_truth": "SELECT o_orderkey, o_orderstatus, o_custkey AS entity FROM orders WHERE o_orderkey % 5 BETWEEN 1 AND 3 AND o_custkey IS NOT NULL",
+    "chunk_ids": "SELECT o_orderkey, CAST('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 8) AS BIGINT) % (SELECT greatest(1, (count(*) + 999) // 1000) FROM orders) AS chunk FROM orders",
+    "metadata_facts": "WITH r AS (SELECT substr(sha1('X' || o_orderkey || year(o_orderdate)), 1, 16) AS case_id, o_orderstatus AS s, o_orderkey % 997 AS serial, o_orderdate AS reg FROM orders), p AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY reg, case_id) - 1 AS place, count(*) OVER (PARTITION BY s) AS total FROM r) SELECT case_id, round(place / total, 6) AS place, round(CAST('0x' || substr(case_id, 1, 8) AS BIGINT) / 4294967296, 9) AS hash, CAST(serial AS DOUBLE) AS serial, round(floor(epoch(reg)) / 86400, 6) AS day FROM p",
+    "recording_errors": f"""{C}, r AS (SELECT id, substr(cls, 1, 1) AS p, status, segment, {_uniform('confuse:status')} AS cs, {_uniform('pick:status')} AS ps, {_uniform('drop:status')} AS ds, {_uniform('confuse:segment')} AS cg, {_uniform('drop:segment')} AS dg FROM cases),
+m AS (SELECT *, CASE p WHEN '1' THEN 0.2 WHEN '3' THEN 0.5 ELSE 0.0 END AS wrong, CASE p WHEN '1' THEN 0.1 WHEN '2' THEN 0.3 ELSE 0.0 END AS drop_s, CASE p WHEN '1' THEN 0.1 WHEN '2' THEN 0.05 ELSE 0.0 END AS drop_g FROM r)
+SELECT id AS case_id, CASE WHEN ds >= drop_s THEN CASE WHEN cs >= wrong THEN status WHEN status IN ('F', 'P') THEN 'O' WHEN status = 'O' AND ps < 0.5 THEN 'F' WHEN status = 'O' THEN 'P' ELSE status END END AS rec_status,
+  CASE WHEN p <> '3' AND dg >= drop_g THEN CASE WHEN cg >= wrong THEN segment WHEN segment = 'BUILDING' THEN 'MACHINERY' WHEN segment = 'MACHINERY' THEN 'BUILDING' ELSE segment END END AS rec_segment FROM m""",
+    "cumulative_offsets": "SELECT event_id, user_id, CAST(sum(event_id % 17) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS offset, CAST(sum(event_id % 17) OVER (PARTITION BY user_id) AS BIGINT) AS span FROM events",
+    "drawn_values": f"SELECT o_orderkey, round(u, 6) AS u, CASE WHEN u < 0.5 THEN 'night' WHEN u < 0.8 THEN 'day' ELSE 'early' END AS value FROM (SELECT o_orderkey, {_uniform('value', 'o_orderkey')} AS u FROM orders)",
+    "applicable_fields": "SELECT cls, CAST(place AS BIGINT) AS place, field FROM (VALUES ('HOME'), ('SHOP'), ('CAR')) c(cls), (VALUES (1, 'time_band'), (2, 'group'), (3, 'tools'), (4, 'target'), (5, 'door')) f(place, field) WHERE cls <> 'CAR' OR field <> 'door'",
+    "tilted_chances": "WITH v AS (SELECT * FROM (VALUES ('a', 0.5, 1.0, 0.0, 't', 0.1), ('b', 0.3, 0.0, -1.0, 'u', 0.6), ('c', 0.2, 0.5, 0.5, 'v', 1.0)) v(one, p1, x, y, many, p2), (VALUES (0.0), (0.75)) t(tau)), s AS (SELECT one, many, CAST(p1 AS DOUBLE) AS p1, CAST(p2 AS DOUBLE) AS p2, CAST(tau AS DOUBLE) AS tau, CAST(tau * (x * 0.8 - y * 0.4) AS DOUBLE) AS shift FROM v) SELECT 'one' AS kind, tau, one AS value, round(p1 * exp(shift) / sum(p1 * exp(shift)) OVER (PARTITION BY tau), 9) AS p FROM s UNION ALL SELECT 'many', tau, many, round(CASE WHEN p2 IN (0, 1) THEN p2 ELSE 1 / (1 + exp(-(ln(p2 / (1 - p2)) + shift))) END, 9) FROM s",
     "serve_case": "SELECT o_orderkey AS case_id, o_orderpriority AS crime_type, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS registered_at, CAST(200 AS BIGINT) AS status, CAST(404 AS BIGINT) AS unknown FROM orders WHERE o_orderkey = 7",
     "serve_links": f"{RANKED} SELECT scope, CAST(200 AS BIGINT) AS status, partner_id, rank, total_bits, pair_class, driven_by FROM (SELECT 'same' AS scope, * FROM driven WHERE case_id = 7 AND pair_class = 'same_type' ORDER BY rank LIMIT 5) UNION ALL SELECT 'all', CAST(200 AS BIGINT), partner_id, rank, total_bits, pair_class, driven_by FROM (SELECT * FROM driven WHERE case_id = 7 ORDER BY rank LIMIT 10)",
     "serve_cluster": f"WITH RECURSIVE {NEAR}, ed AS (SELECT case_id AS a, partner_id AS b FROM near WHERE sim >= 0.35), sym AS (SELECT a, b FROM ed UNION SELECT b, a FROM ed), reach(n) AS (SELECT 7 UNION SELECT s.b FROM reach q JOIN sym s ON s.a = q.n) SELECT CAST(min(n) AS BIGINT) AS cluster_id, count(*) AS size, (SELECT count(*) FROM ed WHERE a IN (SELECT n FROM reach)) AS edges FROM reach HAVING count(*) > 1",

@@ -48,7 +48,7 @@ def chunks(ids: DataFrame, id: str, size: int = 1000) -> DataFrame:
     """Adds a chunk number with about ``size`` ids each, dealt by hash so that no global order of
     all rows is needed."""
     n = max(1, -(-ids.count() // size))
-    return ids.withColumn("chunk", F.pmod(F.crc32(F.col(id).cast("string")), F.lit(n)).cast("int"))
+    return ids.withColumn("chunk", (F.conv(F.substring(F.md5(F.col(id).cast("string")), 1, 8), 16, 10).cast("long") % n).cast("int"))
 
 
 def with_truth(cases: DataFrame, truth: DataFrame, key: str = "case_id") -> DataFrame:
