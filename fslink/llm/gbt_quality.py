@@ -7,7 +7,8 @@ pairs down one level at a time with numpy.
 
 Defined results: a null text counts as empty and gets a score like any other; repeated rows get
 the same score; a null id is never held out; without labels of both kinds the score is the share
-of label 1, or 0.5 without any; an empty table gives an empty result; other columns are ignored.
+of label 1, or 0.5 without any; an empty table gives an empty result; other columns are ignored.  A
+very long text is a group by itself: about 40 bytes for each of its bytes, and time in proportion.
 """
 
 from __future__ import annotations
