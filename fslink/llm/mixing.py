@@ -114,7 +114,12 @@ def _demand(sized: DataFrame, weight: Callable[[int], float], schedule: Callable
     rows = facts.agg(F.max("n")).first()[0] or 0
     bits = max(0, math.ceil(math.log2(max(1, rows / BUCKET_ROWS))))
     target = F.least(F.lit(level) * F.col("weight"), (F.col("size") * most).cast("double"))
-    return facts.select(F.col("source").alias("its_source"), F.col("size").alias("source_size"), target.alias("target"), "knots"), bits
+    return facts.select(_home("source"), F.col("size").alias("source_size"), target.alias("target"), "knots"), bits
+
+
+def _home(source: str) -> Column:
+    """A source as a key that is never null: the source after a mark, or nothing."""
+    return F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("")).alias("home")
 
 
 def _taken(sized: DataFrame, rows: DataFrame, weight, schedule, most: int) -> DataFrame:
@@ -125,18 +130,19 @@ def _taken(sized: DataFrame, rows: DataFrame, weight, schedule, most: int) -> Da
     top = lambda n: F.shiftright("key", KEY_BITS - n) if n else F.lit(0).cast("long")
     before = lambda *keys, order: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     earlier = lambda *keys, order: F.coalesce(F.sum("words").over(before(*keys, order=order)), F.lit(0))
-    sums = cut(sized.groupBy("source", top(bits).alias("bucket"), top(section_bits).alias("section")).agg(F.sum("size").alias("words")), "buckets")
-    sections = sums.groupBy("source", "section").agg(F.sum("words").alias("words")).select(F.col("source").alias("t"), F.col("section").alias("c"), earlier("source", order="section").alias("section_begin"))
-    buckets = sums.withColumn("bucket_begin", earlier("source", "section", order="bucket")).join(sections, F.col("source").eqNullSafe(F.col("t")) & (F.col("section") == F.col("c")))
+    sums = cut(sized.groupBy(_home("source"), top(bits).alias("bucket"), top(section_bits).alias("section")).agg(F.sum("size").alias("words")), "buckets")
+    sections = sums.groupBy("home", "section").agg(F.sum("words").alias("words")).select("home", "section", earlier("home", order="section").alias("section_begin"))
+    buckets = sums.withColumn("bucket_begin", earlier("home", "section", order="bucket")).join(sections, ["home", "section"])
     # What is known of a source goes to its buckets, so that no join of rows is by source alone.
-    begins = buckets.join(known, F.col("source").eqNullSafe(F.col("its_source"))).select(F.col("source").alias("s"), F.col("bucket").alias("b"), (F.col("section_begin") + F.col("bucket_begin")).alias("bucket_begin"), "source_size", "target", "knots")
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "tie", "size").rowsBetween(Window.unboundedPreceding, -1)
+    begins = buckets.join(known, "home").select("home", "bucket", (F.col("section_begin") + F.col("bucket_begin")).alias("bucket_begin"), "source_size", "target", "knots")
+    inside = Window.partitionBy("home", "bucket").orderBy("key", "doc_id", "tie", "size").rowsBetween(Window.unboundedPreceding, -1)
+    # The join is on the window's own keys, so the rows are shuffled once for both.
     placed = (
-        rows.withColumn("bucket", top(bits))
+        rows.withColumns({"home": _home("source"), "bucket": top(bits)})
         .withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-        .join(begins, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
+        .join(begins, ["home", "bucket"])
         .withColumn("begin", F.col("bucket_begin") + F.col("within"))
-        .drop("bucket", "within", "s", "b", "bucket_begin")
+        .drop("home", "bucket", "within", "bucket_begin")
     )
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = F.round(F.col("target")).cast("long") - F.col("passes") * F.col("source_size")
