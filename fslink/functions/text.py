@@ -38,11 +38,37 @@ def _joined(words: Column, starts: Column, n: int) -> Column:
     return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), "_"))
 
 
+def _step(h: Column, code: Column) -> Column:
+    return (h.bitwiseXOR(code) * F.lit(FNV_PRIME).cast("long")).bitwiseAND(F.lit(MASK).cast("long"))
+
+
+def _codes(term: Column) -> Column:
+    return F.transform(F.split(term, ""), lambda c: F.ascii(c).cast("long"))
+
+
 def fnv1a(term: Column) -> Column:
     """FNV-1a over the term's code points (the terms here are ASCII)."""
-    codes = F.transform(F.split(term, ""), lambda c: F.ascii(c).cast("long"))
-    step = lambda h, c: (h.bitwiseXOR(c) * F.lit(FNV_PRIME).cast("long")).bitwiseAND(F.lit(MASK).cast("long"))
-    return F.when(F.length(term) == 0, F.lit(FNV_OFFSET).cast("long")).otherwise(F.aggregate(codes, F.lit(FNV_OFFSET).cast("long"), step))
+    start = F.lit(FNV_OFFSET).cast("long")
+    return F.when(F.length(term) == 0, start).otherwise(F.aggregate(_codes(term), start, _step))
+
+
+def ngram_hashes(words: Column, low: int = 1, high: int = 2) -> Column:
+    """FNV-1a of all n-grams of non-empty words, shorter ones first: an n-gram's hash goes on from that
+    of the n-gram without its last word, so each word is read once per length."""
+    none = F.array().cast("array<bigint>")
+
+    def longer(codes: Column, shorter: Column, n: int) -> Column:
+        joint = lambda h: _step(h, F.lit(ord("_")).cast("long"))
+        go_on = lambda i: F.aggregate(F.get(codes, i + (n - 1)), joint(F.get(shorter, i)), _step)
+        here = F.when(F.size(shorter) >= 2, F.transform(F.sequence(F.lit(0), F.size(shorter) - 2), go_on)).otherwise(none)
+        return bound(here, lambda found: _from(codes, found, n))
+
+    def _from(codes: Column, found: Column, n: int) -> Column:
+        rest = longer(codes, found, n + 1) if n < high else none
+        return F.concat(found, rest) if n >= low else rest
+
+    single = lambda codes: F.transform(codes, lambda c: F.aggregate(c, F.lit(FNV_OFFSET).cast("long"), _step))
+    return bound(F.transform(words, _codes), lambda codes: bound(single(codes), lambda found: _from(codes, found, 1)))
 
 
 def bucket(term: Column, dim: int = 512, seed: int = 0) -> Column:
@@ -64,7 +90,7 @@ def counted(buckets: Column) -> Column:
 
 def document_counts(docs: DataFrame, id: str, text: str, dim: int = 512, seed: int = 0, low: int = 1, high: int = 2) -> DataFrame:
     """(id, counts array<struct<bucket, tf>>) of each document, made within its row."""
-    hashed = F.transform(ngrams(tokens(F.col(text)), low, high), lambda t: bucket(t, dim, seed))
+    hashed = F.transform(ngram_hashes(tokens(F.col(text)), low, high), lambda h: h.bitwiseXOR(F.lit(seed).cast("long")) % dim)
     return docs.select(id, counted(hashed).alias("counts"))
 
 

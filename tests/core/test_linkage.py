@@ -100,6 +100,10 @@ def test_text_functions(spark):
     for c in b"roof_door":
         h = (h ^ c) * 16777619 % 2**32
     assert one(spark, X.fnv1a(F.lit("roof_door"))) == h
+    words = F.array(*map(F.lit, ["roof", "a", "wall", "x1"]))
+    for low, high in ((1, 1), (1, 2), (2, 3), (1, 5)):
+        assert one(spark, X.ngram_hashes(words, low, high)) == one(spark, F.transform(X.ngrams(words, low, high), X.fnv1a))
+    assert one(spark, X.ngram_hashes(F.array().cast("array<string>"))) == []
     docs = spark.createDataFrame([(1, "roof roof roof roof roof"), (2, "wall door"), (3, "")], "id long, t string")
     counts = X.term_counts(docs, "id", "t", high=1)
     weights = X.tfidf(counts, X.idf(counts, docs.agg(F.count("*").alias("n")), "id"), "id", True)
