@@ -45,7 +45,8 @@ def permutation_null(cases: DataFrame, id: str, cls: str, x: str, y: str, times:
     part = Window.partitionBy("replicate", "cls")
     left = many.select("replicate", "cls", "x", F.row_number().over(part.orderBy("id")).alias("k"))
     right = many.select("replicate", "cls", "y", F.row_number().over(part.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("replicate").cast("string"), F.col("id").cast("string"))), "id")).alias("k"))
-    mixed = left.join(right, ["replicate", "cls", "k"]).withColumn("group", F.struct("replicate", "cls"))
+    # Both sides are ``times`` the table; the planner, which doesn't see that, mustn't broadcast one.
+    mixed = left.join(right.hint("merge"), ["replicate", "cls", "k"]).withColumn("group", F.struct("replicate", "cls"))
     return mutual_information(mixed, "group", "x", "y", 1).select("cls.replicate", F.col("cls.cls").alias("cls"), "n", "mi_bits")
 
 
