@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from fslink.functions.evidence import prior_bits
-from fslink.sources.shared import settle
+from fslink.sources.shared import freed, settle, shared_path
+
+#: Of the shuffled tables: rows of a slice, rows times replicates at a time, values of a column that are broadcast.
+SLICE_ROWS, NULL_ROWS, CODES = 200_000, 50_000_000, 100_000
 
 
 def pair_stats(cases: DataFrame, entity: str, cls: str, place: str) -> DataFrame:
@@ -28,26 +38,117 @@ def pair_stats(cases: DataFrame, entity: str, cls: str, place: str) -> DataFrame
 def mutual_information(cases: DataFrame, cls: str, x: str, y: str, least_rows: int = 50) -> DataFrame:
     """(class, n, mi_bits) of two categorical columns within each class of enough complete rows."""
     cells = cases.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(cls).alias("cls"), F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").alias("n"))
-    over = lambda *keys: F.sum("n").over(Window.partitionBy("cls", *keys))
-    parts = cells.select("cls", "n", over().alias("total"), over("x").alias("nx"), over("y").alias("ny")).where(F.col("total") >= least_rows)
+    return _information(cells, least_rows)
+
+
+def _information(cells: DataFrame, least_rows: int, *keep: str) -> DataFrame:
+    """(class, n, mi_bits) of counts (class, x, y, n), and per ``keep`` columns too."""
+    over = lambda *keys: F.sum("n").over(Window.partitionBy(*keep, "cls", *keys))
+    parts = cells.select(*keep, "cls", "n", over().alias("total"), over("x").alias("nx"), over("y").alias("ny")).where(F.col("total") >= least_rows)
     p = F.col("n") / F.col("total")
-    return parts.groupBy("cls").agg(F.max("total").alias("n"), F.sum(p * F.log2(F.col("n") * F.col("total") / (F.col("nx") * F.col("ny")))).alias("mi_bits"))
+    return parts.groupBy(*keep, "cls").agg(F.max("total").alias("n"), F.sum(p * F.log2(F.col("n") * F.col("total") / (F.col("nx") * F.col("ny")))).alias("mi_bits"))
 
 
 def permutation_null(cases: DataFrame, id: str, cls: str, x: str, y: str, times: int = 50, seed: int = 1) -> DataFrame:
-    """(replicate, class, n, mi_bits) with y shuffled within its class by a seeded hash order.
+    """(replicate, class, n, mi_bits) with y shuffled within its class by a seeded hash order."""
+    return permuted_information(cases, id, cls, [(x, y)], times, seed).select("replicate", "cls", "n", "mi_bits")
+
+
+def permuted_information(cases: DataFrame, id: str, cls: str, pairs: list[tuple[str, str]], times: int = 50, seed: int = 1, least_rows: int = 1) -> DataFrame:
+    """(replicate, pair, class, n, mi_bits) of each pair of columns (by its place) with the second one shuffled
+    within its class: of a class's complete rows, that which is k-th by the MD5 of seed:replicate:id gives y to the one
+    which is k-th by id.
 
-    Each replicate numbers the rows of a class twice, by id and by the MD5 of seed:replicate:id,
-    and joins the two on the number, so a shuffle is a join and runs on all replicates at once.
+    A few replicates at a time: their rows are sorted in slices of the MD5, and of each slice only the
+    values stay, as bytes in their order.  They meet the values of x in the order of ids where
+    their places overlap.  No row is joined, no class is in one task, and one sort serves all pairs.
     """
-    rows = cases.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(id).alias("id"), F.col(cls).alias("cls"), F.col(x).alias("x"), F.col(y).alias("y"))
-    many = rows.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(times))))
-    part = Window.partitionBy("replicate", "cls")
-    left = many.select("replicate", "cls", "x", F.row_number().over(part.orderBy("id")).alias("k"))
-    right = many.select("replicate", "cls", "y", F.row_number().over(part.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("replicate").cast("string"), F.col("id").cast("string"))), "id")).alias("k"))
-    # Both sides are ``times`` the table; the planner, which doesn't see that, mustn't broadcast one.
-    mixed = left.join(right.hint("merge"), ["replicate", "cls", "k"]).withColumn("group", F.struct("replicate", "cls"))
-    return mutual_information(mixed, "group", "x", "y", 1).select("cls.replicate", F.col("cls.cls").alias("cls"), "n", "mi_bits")
+    spark = cases.sparkSession
+    columns = list(dict.fromkeys(c for p in pairs for c in p))
+    rows, known = cases.select(F.col(id).alias("id"), F.col(cls).alias("cls"), *(F.col(c).alias(f"v{k}") for k, c in enumerate(columns))), []
+    rows = settle(rows)
+    for k, name in enumerate(["cls", *(f"v{k}" for k in range(len(columns)))]):
+        values = settle(rows.select(F.col(name).alias("v")).distinct())
+        found = sorted(r["v"] for r in values.where("v is not null").collect())
+        codes = spark.createDataFrame([*((v, i) for i, v in enumerate(found)), *([(None, len(found))] if not k else [])], T.StructType([T.StructField("w", values.schema["v"].dataType), T.StructField(f"c{k}", T.IntegerType())]))
+        known.append(codes)
+        rows = rows.join(F.broadcast(codes) if len(found) <= CODES else codes, F.col(name).eqNullSafe(F.col("w")), "left").drop("w", name)
+    base = settle(rows.select("id", F.col("c0").alias("g"), F.array(*(F.coalesce(f"c{k + 1}", F.lit(-1)) for k in range(len(columns)))).alias("c")))
+    sizes = {r["g"]: r["n"] for r in base.groupBy("g").agg(F.count("*").alias("n")).collect()}
+    schema = "replicate int, pair int, g int, x int, y int, n long"
+    path, places = shared_path(spark, "null"), [(columns.index(a), columns.index(b)) for a, b in pairs]
+    parts = max(1, -(-sum(sizes.values()) // SLICE_ROWS))
+    # By id: of each range of ids and each class the values of x.
+    by_id = base.repartitionByRange(parts, "g", "id").withColumn("b", F.spark_partition_id())
+    first = settle(_offset(by_id.select("g", "b", "c", F.col("id").alias("key")).groupBy("g", "b").applyInArrow(_in_order(places, 0), PIECES), "g"))
+    left = first.select("g", "pair", F.col("at").alias("at_x"), F.col("n").alias("n_x"), F.col("codes").alias("xs"))
+    slices = F.element_at(F.create_map(*(F.lit(v) for g, n in sizes.items() for v in (g, -(-n // SLICE_ROWS)))), F.col("g")) if sizes else F.lit(1)
+    step = max(1, NULL_ROWS // max(1, sum(sizes.values())))
+    for begin in range(1, times + 1 if sizes else 1, step):
+        replicates = F.explode(F.sequence(F.lit(begin), F.lit(min(times, begin + step - 1)))).alias("replicate")
+        hashed = base.select("id", "g", "c", replicates).select("replicate", "g", "c", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("replicate").cast("string"), F.col("id").cast("string"))).alias("h"))
+        sliced = hashed.select("replicate", "g", (F.conv(F.substring("h", 1, 8), 16, 10).cast("long") * slices / 2**32).cast("int").alias("b"), F.unhex("h").alias("key"), "c")
+        right = _offset(sliced.groupBy("replicate", "g", "b").applyInArrow(_in_order(places, 1), f"replicate int, {PIECES}"), "replicate", "g")
+        met = right.join(left, ["g", "pair"]).where("at < at_x + n_x and at_x < at + n")
+        cells = met.mapInPandas(_met, schema).groupBy("replicate", "pair", "g", "x", "y").agg(F.sum("n").alias("n"))
+        cells.coalesce(8).write.mode("append").parquet(path)
+        del hashed, sliced, right, met, cells
+        freed(spark)
+    done = spark.read.schema(schema).parquet(path) if sizes and times else spark.createDataFrame([], schema)
+    cells = done.join(F.broadcast(known[0].select(F.col("c0").alias("g"), F.col("w").alias("cls"))), "g").drop("g")
+    return _information(cells, least_rows, "replicate", "pair")
+
+
+PIECES = "g int, b int, pair int, n long, codes binary"
+
+
+def _in_order(places: list[tuple[int, int]], side: int):
+    """Of a slice (..., c, key), for each pair of columns: the codes of one side of complete rows by key."""
+
+    def run(keys: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        n, key = len(table), table["key"].combine_chunks()
+        key = key.chunk(0) if isinstance(key, pa.ChunkedArray) else key
+        if pa.types.is_binary(key.type):
+            ends = np.frombuffer(key.buffers()[1], dtype=np.int32)[key.offset : key.offset + n + 1]
+            words = np.frombuffer(key.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]].view(">u8").reshape(n, 2).astype(np.uint64)
+            order = np.lexsort((words[:, 1], words[:, 0]))
+        else:
+            order = pc.sort_indices(key).to_numpy()
+        codes = table["c"].combine_chunks()
+        codes = (codes.chunk(0) if isinstance(codes, pa.ChunkedArray) else codes).flatten().to_numpy().reshape(n, -1)[order]
+        held = [codes[(codes[:, a] >= 0) & (codes[:, b] >= 0), (a, b)[side]].astype(np.int32) for a, b in places]
+        names = ["replicate", "g", "b"][-len(keys) :]
+        fixed = {name: pa.array([k.as_py()] * len(places), pa.int32()) for name, k in zip(names, keys)}
+        return pa.table({**fixed, "pair": pa.array(range(len(places)), pa.int32()), "n": pa.array([len(h) for h in held], pa.int64()), "codes": pa.array([h.tobytes() for h in held], pa.binary())})
+
+    return run
+
+
+def _offset(pieces: DataFrame, *keys: str) -> DataFrame:
+    """Adds ``at``, the place of each piece's first row."""
+    before = Window.partitionBy(*keys, "pair").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    return pieces.withColumn("at", F.coalesce(F.sum("n").over(before), F.lit(0)))
+
+
+def _met(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Counts of x and y at the places that a piece of each has."""
+    for frame in frames:
+        for r in frame.itertuples():
+            first, last = max(r.at, r.at_x), min(r.at + r.n, r.at_x + r.n_x)
+            x = np.frombuffer(r.xs, dtype=np.int32)[first - r.at_x : last - r.at_x].astype(np.int64)
+            y = np.frombuffer(r.codes, dtype=np.int32)[first - r.at : last - r.at]
+            cells, n = _counts(x, y)
+            yield pd.DataFrame({"replicate": np.int32(r.replicate), "pair": np.int32(r.pair), "g": np.int32(r.g), "x": (cells >> 32).astype(np.int32), "y": (cells & 0xFFFFFFFF).astype(np.int32), "n": n})
+
+
+def _counts(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    width = int(y.max(initial=0)) + 1
+    if (int(x.max(initial=0)) + 1) * width > 1 << 20:
+        return np.unique((x << 32) | y, return_counts=True)
+    n = np.bincount(x * width + y)
+    there = np.flatnonzero(n)
+    return ((there // width) << 32) | (there % width), n[there]
 
 
 def z_score(observed: Column, expected: Column, n: Column) -> Column:

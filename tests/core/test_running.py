@@ -64,3 +64,30 @@ def test_six_verdicts(spark):
     assert found["background"]["passed"] and found["background"]["checks"] > 10 and found["recording"]["passed"], found
     wrong = Y._recording(cases, NAMES, {"X": {"default": 0.4}, "Z": {"default": 0.1}}, {"X": 0.001, "Z": 0.05}, EDGES, {"Z": ["group"]}, 4.0)
     assert not wrong["passed"] and any(f.startswith("Z.group: absent") for f in wrong["failures"]) and any(f.startswith("X.") for f in wrong["failures"])
+
+
+def test_shuffles_match_their_definition_slice_by_slice(spark, monkeypatch):
+    import hashlib
+    from collections import Counter
+
+    import numpy as np
+
+    from fslink.operators import statistics as T
+
+    rng = np.random.default_rng(3)
+    rows = [(int(i), "a" if i % 5 else None, str(rng.integers(0, 3)) if i % 11 else None, str(rng.integers(0, 4)) if i % 7 else None) for i in rng.permutation(600)]
+    df = spark.createDataFrame(rows, "id long, cls string, x string, y string")
+    monkeypatch.setattr(T, "SLICE_ROWS", 50)
+    monkeypatch.setattr(T, "NULL_ROWS", 1300)
+    joined = []
+    monkeypatch.setattr(type(df), "hint", lambda self, *a: joined.append(a) or self)
+    got = {(r.replicate, r.cls): (r.n, round(r.mi_bits, 9)) for r in T.permutation_null(df, "id", "cls", "x", "y", 5).collect()}
+    want = {}
+    for rep in range(1, 6):
+        for cls in ("a", None):
+            own = [r for r in rows if r[1] == cls and r[2] is not None and r[3] is not None]
+            xs = [r[2] for r in sorted(own)] if cls else [r[2] for r in sorted(own, key=lambda r: r[0])]
+            ys = [r[3] for r in sorted(own, key=lambda r: hashlib.md5(f"1:{rep}:{r[0]}".encode()).hexdigest())]
+            cells, nx, ny, n = Counter(zip(xs, ys)), Counter(xs), Counter(ys), len(own)
+            want[rep, cls] = (n, round(sum(c / n * np.log2(c * n / (nx[x] * ny[y])) for (x, y), c in cells.items()), 9))
+    assert got == want and not joined
