@@ -91,3 +91,17 @@ def test_shuffles_match_their_definition_slice_by_slice(spark, monkeypatch):
             cells, nx, ny, n = Counter(zip(xs, ys)), Counter(xs), Counter(ys), len(own)
             want[rep, cls] = (n, round(sum(c / n * np.log2(c * n / (nx[x] * ny[y])) for (x, y), c in cells.items()), 9))
     assert got == want and not joined
+
+
+def test_summed_shuffles_share_one_sort_and_equal_those_of_each_pair(spark):
+    from fslink.operators import statistics as T
+    from fslink.operators import studies
+
+    rows = [(i, "ab"[i % 2], str(i * 7 % 3), str(i * 5 % 4) if i % 6 else None, str(i % 5)) for i in range(240)]
+    df = spark.createDataFrame(rows, "id long, cls string, x string, y string, z string")
+    each = {}
+    for a, b in (("x", "y"), ("x", "z"), ("y", "z")):
+        for r in T.permutation_null(df, "id", "cls", a, b, 3).collect():
+            each[r.replicate] = each.get(r.replicate, 0) + r.mi_bits
+    row = studies.excess_information(df, "id", "cls", ["x", "y", "z"], 3).first()
+    assert abs(row.null_mean - sum(each.values()) / 3) < 1e-9 and abs(row.null_max - max(each.values())) < 1e-9
