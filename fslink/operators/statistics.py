@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -14,7 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from fslink.functions.evidence import prior_bits
-from fslink.sources.shared import freed, settle, shared_path
+from fslink.sources.shared import freed, release, settle, shared_path
 
 #: Of the shuffled tables: rows of a slice, rows times replicates at a time, values of a column that are broadcast.
 SLICE_ROWS, NULL_ROWS, CODES = 200_000, 50_000_000, 100_000
@@ -38,10 +39,10 @@ def pair_stats(cases: DataFrame, entity: str, cls: str, place: str) -> DataFrame
 def mutual_information(cases: DataFrame, cls: str, x: str, y: str, least_rows: int = 50) -> DataFrame:
     """(class, n, mi_bits) of two categorical columns within each class of enough complete rows."""
     cells = cases.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(cls).alias("cls"), F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").alias("n"))
-    return _information(cells, least_rows)
+    return information(cells, least_rows)
 
 
-def _information(cells: DataFrame, least_rows: int, *keep: str) -> DataFrame:
+def information(cells: DataFrame, least_rows: int, *keep: str) -> DataFrame:
     """(class, n, mi_bits) of counts (class, x, y, n), and per ``keep`` columns too."""
     over = lambda *keys: F.sum("n").over(Window.partitionBy(*keep, "cls", *keys))
     parts = cells.select(*keep, "cls", "n", over().alias("total"), over("x").alias("nx"), over("y").alias("ny")).where(F.col("total") >= least_rows)
@@ -59,87 +60,243 @@ def permuted_information(cases: DataFrame, id: str, cls: str, pairs: list[tuple[
     within its class: of a class's complete rows, that which is k-th by the MD5 of seed:replicate:id gives y to the one
     which is k-th by id.
 
-    A few replicates at a time: their rows are sorted in slices of the MD5, and of each slice only the
-    values stay, as bytes in their order.  They meet the values of x in the order of ids where
-    their places overlap.  No row is joined, no class is in one task, and one sort serves all pairs.
+    A few replicates at a time: rows are packed as bytes (MD5 and codes) by class and slice of the MD5, each slice is
+    sorted, and of it only the values stay, in their order.  They meet the values of x in the order of ids
+    block by block of places.  No row is joined, no class is in one task, and one sort serves all pairs.
     """
     spark = cases.sparkSession
     columns = list(dict.fromkeys(c for p in pairs for c in p))
     rows, known = cases.select(F.col(id).alias("id"), F.col(cls).alias("cls"), *(F.col(c).alias(f"v{k}") for k, c in enumerate(columns))), []
-    rows = settle(rows)
+    rows = rows if hasattr(cases, "settled_at") else settle(rows)
+    counts = settle(rows.groupBy("cls", *(f"v{k}" for k in range(len(columns)))).agg(F.count("*").alias("n")))
+    base, values = rows, []
     for k, name in enumerate(["cls", *(f"v{k}" for k in range(len(columns)))]):
-        values = settle(rows.select(F.col(name).alias("v")).distinct())
-        found = sorted(r["v"] for r in values.where("v is not null").collect())
-        codes = spark.createDataFrame([*((v, i) for i, v in enumerate(found)), *([(None, len(found))] if not k else [])], T.StructType([T.StructField("w", values.schema["v"].dataType), T.StructField(f"c{k}", T.IntegerType())]))
+        found = sorted(r["v"] for r in counts.select(F.col(name).alias("v")).distinct().where("v is not null").collect())
+        # A class that is null has a code; a value that is null has the one after the last.
+        codes = spark.createDataFrame([*((v, i) for i, v in enumerate(found)), *([(None, len(found))] if not k else [])], T.StructType([T.StructField("w", counts.schema[name].dataType), T.StructField(f"c{k}", T.IntegerType())]))
         known.append(codes)
-        rows = rows.join(F.broadcast(codes) if len(found) <= CODES else codes, F.col(name).eqNullSafe(F.col("w")), "left").drop("w", name)
-    base = settle(rows.select("id", F.col("c0").alias("g"), F.array(*(F.coalesce(f"c{k + 1}", F.lit(-1)) for k in range(len(columns)))).alias("c")))
-    sizes = {r["g"]: r["n"] for r in base.groupBy("g").agg(F.count("*").alias("n")).collect()}
-    schema = "replicate int, pair int, g int, x int, y int, n long"
-    path, places = shared_path(spark, "null"), [(columns.index(a), columns.index(b)) for a, b in pairs]
-    parts = max(1, -(-sum(sizes.values()) // SLICE_ROWS))
+        values.append(len(found))
+        joined = lambda df: df.join(F.broadcast(codes) if len(found) <= CODES else codes, F.col(name).eqNullSafe(F.col("w")), "left").drop("w", name).withColumn(f"c{k}", F.coalesce(f"c{k}", F.lit(len(found))))  # noqa: B023, E731
+        base, counts = joined(base), joined(counts) if not k else counts
+    base = settle(base.select("id", F.concat_ws(":", F.lit(""), F.col("id").cast("string")).alias("tail"), F.col("c0").alias("g"), *(f"c{k + 1}" for k in range(len(columns)))))
+    freed(spark)
+    sizes = {r["g"]: r["n"] for r in counts.groupBy(F.col("c0").alias("g")).agg(F.sum("n").alias("n")).collect()}
+    kept = _Kept(values[1:], [(columns.index(a), columns.index(b)) for a, b in pairs])
+    path = shared_path(spark, "null")
     # By id: of each range of ids and each class the values of x.
-    by_id = base.repartitionByRange(parts, "g", "id").withColumn("b", F.spark_partition_id())
-    first = settle(_offset(by_id.select("g", "b", "c", F.col("id").alias("key")).groupBy("g", "b").applyInArrow(_in_order(places, 0), PIECES), "g"))
-    left = first.select("g", "pair", F.col("at").alias("at_x"), F.col("n").alias("n_x"), F.col("codes").alias("xs"))
-    slices = F.element_at(F.create_map(*(F.lit(v) for g, n in sizes.items() for v in (g, -(-n // SLICE_ROWS)))), F.col("g")) if sizes else F.lit(1)
+    by_id = base.repartitionByRange(max(1, -(-sum(sizes.values()) // SLICE_ROWS)), F.col("g"), F.col("id").asc_nulls_last()).withColumn("part", F.spark_partition_id())
+    by_id = by_id.sortWithinPartitions(F.col("g"), F.col("id").asc_nulls_last()).drop("id", "tail")
+    first = settle(by_id.mapInArrow(kept.in_order, f"b long, {PIECES}"))
+    left = settle(_blocks(first, "g"))
+    release(first)
+    slices = {g: -(-n // SLICE_ROWS) for g, n in sizes.items()}
     step = max(1, NULL_ROWS // max(1, sum(sizes.values())))
     for begin in range(1, times + 1 if sizes else 1, step):
-        replicates = F.explode(F.sequence(F.lit(begin), F.lit(min(times, begin + step - 1)))).alias("replicate")
-        hashed = base.select("id", "g", "c", replicates).select("replicate", "g", "c", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("replicate").cast("string"), F.col("id").cast("string"))).alias("h"))
-        sliced = hashed.select("replicate", "g", (F.conv(F.substring("h", 1, 8), 16, 10).cast("long") * slices / 2**32).cast("int").alias("b"), F.unhex("h").alias("key"), "c")
-        right = _offset(sliced.groupBy("replicate", "g", "b").applyInArrow(_in_order(places, 1), f"replicate int, {PIECES}"), "replicate", "g")
-        met = right.join(left, ["g", "pair"]).where("at < at_x + n_x and at_x < at + n")
-        cells = met.mapInPandas(_met, schema).groupBy("replicate", "pair", "g", "x", "y").agg(F.sum("n").alias("n"))
+        packed = base.drop("id").mapInArrow(kept.packed(seed, range(begin, min(times + 1, begin + step)), slices), "replicate int, g int, b int, held binary")
+        right = settle(packed.groupBy("replicate", "g", "b").applyInArrow(lambda keys, rows: kept.by_key(keys, rows), f"replicate int, b long, {PIECES}"))
+        met = left.groupBy("g", "pair", "block").cogroup(_blocks(right, "replicate", "g").groupBy("g", "pair", "block")).applyInArrow(lambda keys, xs, ys: kept.met(keys, xs, ys), "replicate int, pair int, g int, x int, y int, n long")
+        cells = met.groupBy("replicate", "pair", "g", "x", "y").agg(F.sum("n").alias("n"))
         cells.coalesce(8).write.mode("append").parquet(path)
-        del hashed, sliced, right, met, cells
+        release(right)
+        del packed, right, met, cells
         freed(spark)
-    done = spark.read.schema(schema).parquet(path) if sizes and times else spark.createDataFrame([], schema)
+    done = spark.read.schema("replicate int, pair int, g int, x int, y int, n long").parquet(path) if sizes and times else spark.createDataFrame([], "replicate int, pair int, g int, x int, y int, n long")
+    release(left)
+    release(base)
     cells = done.join(F.broadcast(known[0].select(F.col("c0").alias("g"), F.col("w").alias("cls"))), "g").drop("g")
-    return _information(cells, least_rows, "replicate", "pair")
-
-
-PIECES = "g int, b int, pair int, n long, codes binary"
+    return information(cells, least_rows, "replicate", "pair")
+
+
+#: A piece: values of one column, of complete rows of a pair, in their order.
+PIECES = "g int, pair int, n long, codes binary"
+#: Rows that are packed at a time, and hashed at a time.
+PACKED_ROWS, HASHED_ROWS = 200_000, 8192
+
+
+class _Kept:
+    """How the values of rows are kept as bytes: each column's codes in 1, 2 or 4, that of null after the others."""
+
+    def __init__(self, values: list[int], places: list[tuple[int, int]]):
+        self.values, self.places = values, places
+        self.types = [np.dtype("<u1" if n < 1 << 8 else "<u2" if n < 1 << 16 else "<u4") for n in values]
+        self.ends = np.cumsum([0, *(t.itemsize for t in self.types)])
+
+    def matrix(self, table: pa.Table | pa.RecordBatch) -> np.ndarray:
+        """Rows of bytes from the columns c1, c2, ..."""
+        return np.concatenate([table[f"c{k + 1}"].to_numpy(zero_copy_only=False).astype(t).view(np.uint8).reshape(-1, t.itemsize) for k, t in enumerate(self.types)], axis=1)
+
+    def pieces(self, held: np.ndarray, side: int) -> list[tuple[int, int, bytes]]:
+        """(pair, n, codes) of one side of each pair's complete rows."""
+        codes = [np.ascontiguousarray(held[:, a:b]).view(t).ravel() for a, b, t in zip(self.ends, self.ends[1:], self.types)]
+        there, out = [c < n for c, n in zip(codes, self.values)], []
+        for k, pair in enumerate(self.places):
+            values = codes[pair[side]][there[pair[0]] & there[pair[1]]]
+            out.append((k, len(values), values.tobytes()))
+        return out
+
+    def in_order(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of a range of sorted rows (g, c1, c2, ..., part): pieces of x by class and batch."""
+        for k, batch in enumerate(batches):
+            g = batch["g"].to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(g)) + 1), len(g)]
+            found = [((int(batch["part"][0].as_py()) << 32) + k, int(g[a]), *piece) for a, b in zip(cuts, cuts[1:]) if b > a for piece in self.pieces(self.matrix(batch.slice(a, b - a)), 0)]
+            if found:
+                yield _batch(found, ["b", "g", "pair", "n", "codes"], [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()])
+
+    def packed(self, seed: int, replicates: range, slices: dict[int, int]):
+        """Of rows (tail, g, c1, c2, ...), for each replicate: MD5 and codes by class and slice of the MD5."""
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            some, n = [], 0
+            for batch in batches:
+                some.append(batch)
+                n += len(batch)
+                if n >= PACKED_ROWS:
+                    yield from self._packed(pa.Table.from_batches(some), seed, replicates, slices)
+                    some, n = [], 0
+            if n:
+                yield from self._packed(pa.Table.from_batches(some), seed, replicates, slices)
+
+        return run
+
+    def _packed(self, table: pa.Table, seed: int, replicates: range, slices: dict[int, int]) -> Iterator[pa.RecordBatch]:
+        g, codes, tails = table["g"].to_numpy(), self.matrix(table), _Tails(table["tail"])
+        per = np.zeros(max(slices) + 1, np.uint64)
+        per[list(slices)] = list(slices.values())
+        begins = np.concatenate([[0], np.cumsum(per)]).astype(np.int64)
+        for replicate in replicates:
+            held = np.concatenate([tails.md5(f"{seed}:{replicate}".encode()), codes], axis=1)
+            high = np.ascontiguousarray(held[:, :4]).view(">u4").ravel().astype(np.uint64)
+            at = begins[g] + (high * per[g] >> np.uint64(32)).astype(np.int64)
+            order = np.argsort(at, kind="stable")
+            at, held = at[order], held[order]
+            cuts = [0, *(np.flatnonzero(np.diff(at)) + 1), len(at)]
+            found = []
+            for a, b in zip(cuts, cuts[1:]):
+                own = int(np.searchsorted(begins, at[a], "right")) - 1
+                found.append((replicate, own, int(at[a] - begins[own]), held[a:b].tobytes()))
+            yield _batch(found, ["replicate", "g", "b", "held"], [pa.int32(), pa.int32(), pa.int32(), pa.binary()])
+
+    def by_key(self, keys: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        """Pieces of y of a slice, by the MD5."""
+        held = np.frombuffer(b"".join(table["held"].to_pylist()), np.uint8).reshape(-1, 16 + int(self.ends[-1]))
+        high, low = (np.ascontiguousarray(held[:, a : a + 8]).view(">u8").ravel().astype(np.uint64) for a in (0, 8))
+        order = np.argsort(high)
+        high = high[order]
+        if (high[1:] == high[:-1]).any():
+            order = order[np.lexsort((low[order], high))]
+        replicate, g, b = (k.as_py() for k in keys)
+        found = [(replicate, b, g, *piece) for piece in self.pieces(held[order, 16:], 1)]
+        return pa.Table.from_batches([_batch(found, ["replicate", "b", "g", "pair", "n", "codes"], [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()])])
+
+    def met(self, keys: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        """Counts of x and y in a block of places, for each replicate."""
+        g, pair, _ = (k.as_py() for k in keys)
+        a, b = (self.types[k] for k in self.places[pair])
+        x, out = _joined(left).view(a).astype(np.int64), []
+        for replicate in pc.unique(right["replicate"]).to_pylist():
+            y = _joined(right.filter(pc.equal(right["replicate"], replicate))).view(b)
+            cells, n = _counts(x, y)
+            fixed = [pa.array(np.full(len(n), v, np.int32)) for v in (replicate, pair, g)]
+            out.append(pa.table([*fixed, pa.array((cells >> 32).astype(np.int32)), pa.array((cells & 0xFFFFFFFF).astype(np.int32)), pa.array(n.astype(np.int64))], names=["replicate", "pair", "g", "x", "y", "n"]))
+        return pa.concat_tables(out)
 
 
-def _in_order(places: list[tuple[int, int]], side: int):
-    """Of a slice (..., c, key), for each pair of columns: the codes of one side of complete rows by key."""
+def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
-    def run(keys: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        n, key = len(table), table["key"].combine_chunks()
-        key = key.chunk(0) if isinstance(key, pa.ChunkedArray) else key
-        if pa.types.is_binary(key.type):
-            ends = np.frombuffer(key.buffers()[1], dtype=np.int32)[key.offset : key.offset + n + 1]
-            words = np.frombuffer(key.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]].view(">u8").reshape(n, 2).astype(np.uint64)
-            order = np.lexsort((words[:, 1], words[:, 0]))
-        else:
-            order = pc.sort_indices(key).to_numpy()
-        codes = table["c"].combine_chunks()
-        codes = (codes.chunk(0) if isinstance(codes, pa.ChunkedArray) else codes).flatten().to_numpy().reshape(n, -1)[order]
-        held = [codes[(codes[:, a] >= 0) & (codes[:, b] >= 0), (a, b)[side]].astype(np.int32) for a, b in places]
-        names = ["replicate", "g", "b"][-len(keys) :]
-        fixed = {name: pa.array([k.as_py()] * len(places), pa.int32()) for name, k in zip(names, keys)}
-        return pa.table({**fixed, "pair": pa.array(range(len(places)), pa.int32()), "n": pa.array([len(h) for h in held], pa.int64()), "codes": pa.array([h.tobytes() for h in held], pa.binary())})
 
-    return run
+def _joined(pieces: pa.Table) -> np.ndarray:
+    """The bytes of a block's pieces by their places."""
+    codes = pieces["codes"].to_pylist()
+    return np.frombuffer(b"".join(codes[i] for i in np.argsort(pieces["at"].to_numpy(), kind="stable")), np.uint8)
 
 
-def _offset(pieces: DataFrame, *keys: str) -> DataFrame:
-    """Adds ``at``, the place of each piece's first row."""
+def _blocks(pieces: DataFrame, *keys: str) -> DataFrame:
+    """Pieces in order of ``b`` cut at every ``SLICE_ROWS``-th place: with ``block`` and ``at``, the place of the first row."""
     before = Window.partitionBy(*keys, "pair").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    return pieces.withColumn("at", F.coalesce(F.sum("n").over(before), F.lit(0)))
-
-
-def _met(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Counts of x and y at the places that a piece of each has."""
-    for frame in frames:
-        for r in frame.itertuples():
-            first, last = max(r.at, r.at_x), min(r.at + r.n, r.at_x + r.n_x)
-            x = np.frombuffer(r.xs, dtype=np.int32)[first - r.at_x : last - r.at_x].astype(np.int64)
-            y = np.frombuffer(r.codes, dtype=np.int32)[first - r.at : last - r.at]
-            cells, n = _counts(x, y)
-            yield pd.DataFrame({"replicate": np.int32(r.replicate), "pair": np.int32(r.pair), "g": np.int32(r.g), "x": (cells >> 32).astype(np.int32), "y": (cells & 0xFFFFFFFF).astype(np.int32), "n": n})
+    known = settle(pieces.select(*keys, "pair", "b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("at")))
+    placed = pieces.where("n > 0").join(F.broadcast(known), [*keys, "pair", "b"])
+    size = F.lit(SLICE_ROWS).cast("long")
+    cut = placed.withColumn("width", F.length("codes") / F.col("n")).withColumn("block", F.explode(F.sequence(F.floor(F.col("at") / size), F.floor((F.col("at") + F.col("n") - 1) / size))))
+    low, high = F.greatest("at", F.col("block") * size), F.least(F.col("at") + F.col("n"), (F.col("block") + 1) * size)
+    codes = F.substring("codes", ((low - F.col("at")) * F.col("width") + 1).cast("int"), ((high - low) * F.col("width")).cast("int"))
+    return cut.select(*keys, "pair", F.col("block").cast("long").alias("block"), low.cast("long").alias("at"), codes.alias("codes"))
+
+
+class _Tails:
+    """The ends of messages that are hashed behind one beginning after another."""
+
+    def __init__(self, tails: pa.ChunkedArray):
+        tails = pa.concat_arrays(tails.cast(pa.large_binary()).chunks)
+        ends = np.frombuffer(tails.buffers()[1], np.int64)[tails.offset : tails.offset + len(tails) + 1]
+        data = np.frombuffer(tails.buffers()[2] or b"", np.uint8)
+        self.all, self.length = tails, np.diff(ends)
+        self.most = int(self.length.max(initial=0))
+        if self.most > 55:
+            return
+        # The byte that MD5 puts behind a message is there already.
+        self.bytes = np.zeros((len(tails), self.most + 1), np.uint8)
+        for k in range(self.most):
+            there = np.flatnonzero(self.length > k)
+            self.bytes[there, k] = data[ends[there] + k]
+        self.bytes[np.arange(len(tails)), self.length] = 0x80
+
+    def md5(self, begin: bytes) -> np.ndarray:
+        """16 bytes of each message."""
+        if len(begin) + self.most > 55:
+            return np.frombuffer(b"".join(hashlib.md5(begin + t.as_py()).digest() for t in self.all), np.uint8).reshape(-1, 16)
+        out, p = np.empty((len(self.length), 16), np.uint8), len(begin)
+        for first in range(0, len(out), HASHED_ROWS):
+            part = self.bytes[first : first + HASHED_ROWS]
+            block = np.zeros((len(part), 64), np.uint8)
+            block[:, :p] = np.frombuffer(begin, np.uint8)
+            block[:, p : p + part.shape[1]] = part
+            block.view("<u8")[:, 7] = (self.length[first : first + HASHED_ROWS] + p) * 8
+            used = (p + part.shape[1] + 3) // 4
+            out[first : first + HASHED_ROWS] = _md5(np.ascontiguousarray(block.view("<u4").T), {*range(used), 14})
+        return out
+
+
+MD5_SHIFTS = [s for four in ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)) for s in four * 4]
+MD5_SINES = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)]
+
+
+def _md5(words: np.ndarray, used: set[int]) -> np.ndarray:
+    """The MD5 of messages of one block each, given as 16 rows of words of which all but ``used`` are zero."""
+    start = [np.full(words.shape[1], v, np.uint32) for v in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
+    a, b, c, d = (x.copy() for x in start)
+    f, t = np.empty_like(a), np.empty_like(a)
+    for i in range(64):
+        if i < 16:
+            k = i
+            np.bitwise_xor(c, d, out=f)
+            f &= b
+            f ^= d
+        elif i < 32:
+            k = (5 * i + 1) % 16
+            np.bitwise_xor(b, c, out=f)
+            f &= d
+            f ^= c
+        elif i < 48:
+            k = (3 * i + 5) % 16
+            np.bitwise_xor(b, c, out=f)
+            f ^= d
+        else:
+            k = 7 * i % 16
+            np.invert(d, out=f)
+            f |= b
+            f ^= c
+        f += a
+        f += np.uint32(MD5_SINES[i])
+        if k in used:
+            f += words[k]
+        np.left_shift(f, np.uint32(MD5_SHIFTS[i]), out=t)
+        f >>= np.uint32(32 - MD5_SHIFTS[i])
+        f |= t
+        f += b
+        a, b, c, d, f = d, f, b, c, a
+    return np.stack([x + y for x, y in zip((a, b, c, d), start)], axis=1).astype("<u4").view(np.uint8)
 
 
 def _counts(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

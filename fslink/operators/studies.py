@@ -45,13 +45,13 @@ def excess_information(rows: DataFrame, id: str, cls: str, fields: dict[str, str
 
     Each pair of fields within a class is a group; groups of fewer complete rows don't count.
     """
-    pairs = [F.struct(F.lit(f"{a}|{b}").alias("pair"), F.col(a).cast("string").alias("x"), F.col(b).cast("string").alias("y")) for a, b in combinations(fields, 2)]
-    long = rows.select(F.col(id).alias("id"), F.col(cls).alias("in"), F.explode(F.array(*pairs)).alias("p")).select("id", F.concat_ws("|", "in", "p.pair").alias("group"), "p.x", "p.y").where("x is not null and y is not null")
-    enough = long.groupBy("group").agg(F.count("*").alias("n")).where(F.col("n") >= least_rows).select("group")
-    long = long.join(enough, "group", "left_semi")
-    seen = T.mutual_information(long, "group", "x", "y", least_rows).agg(F.coalesce(F.sum("mi_bits"), F.lit(0.0)).alias("observed"))
-    texts = rows.select(F.col(id).alias("id"), F.col(cls).alias("in"), *(F.col(f).cast("string").alias(f"f{k}") for k, f in enumerate(fields)))
+    texts = settle(rows.select(F.col(id).alias("id"), F.col(cls).alias("in"), *(F.col(f).cast("string").alias(f"f{k}") for k, f in enumerate(fields))))
     places = list(combinations((f"f{k}" for k in range(len(fields))), 2))
+    # Rows are counted by all their fields once; each pair is counted from these.
+    counts = settle(texts.groupBy("in", *(f"f{k}" for k in range(len(fields)))).agg(F.count("*").alias("n")))
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("pair"), F.col(a).alias("x"), F.col(b).alias("y")) for k, (a, b) in enumerate(places)))).alias("p")
+    cells = counts.select(F.col("in").alias("cls"), "n", each).select("cls", "n", "p.*").where("x is not null and y is not null").groupBy("pair", "cls", "x", "y").agg(F.sum("n").alias("n"))
+    seen = T.information(cells, least_rows, "pair").agg(F.coalesce(F.sum("mi_bits"), F.lit(0.0)).alias("observed"))
     null = T.permuted_information(texts, "id", "in", places, times, seed, least_rows).groupBy("replicate").agg(F.sum("mi_bits").alias("bits"))
     null = null.agg(F.coalesce(F.avg("bits"), F.lit(0.0)).alias("null_mean"), F.coalesce(F.max("bits"), F.lit(0.0)).alias("null_max"))
     return seen.join(null).withColumn("excess", F.col("observed") - F.col("null_mean"))

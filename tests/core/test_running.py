@@ -105,3 +105,48 @@ def test_summed_shuffles_share_one_sort_and_equal_those_of_each_pair(spark):
             each[r.replicate] = each.get(r.replicate, 0) + r.mi_bits
     row = studies.excess_information(df, "id", "cls", ["x", "y", "z"], 3).first()
     assert abs(row.null_mean - sum(each.values()) / 3) < 1e-9 and abs(row.null_max - max(each.values())) < 1e-9
+
+
+def test_hashes_of_many_messages_equal_those_of_each():
+    import hashlib
+
+    import pyarrow as pa
+
+    from fslink.operators import statistics as T
+
+    tails = [f":{k * 7919 ** (k % 4)}" for k in range(20_000)] + ["", ":ä"]
+    for some, begin in ((tails, "1:50"), (tails, "12345:7"), ([*tails, ":" + "x" * 40], "1:2"), ([*tails[:9], ":" + "x" * 53], "1:2"), ([*tails[:9], ":" + "y" * 200], "1:2")):
+        got = T._Tails(pa.chunked_array([some[:5], some[5:]])).md5(begin.encode())
+        assert [bytes(x).hex() for x in got] == [hashlib.md5((begin + t).encode()).hexdigest() for t in some]
+
+
+def test_replicates_are_shuffled_as_bytes_and_observed_sums_as_counts(spark):
+    """Of a row and replicate only its MD5 and a byte a field is shuffled, and no row is multiplied by pairs."""
+    from fslink.operators import statistics as T
+    from fslink.operators import studies
+
+    n = 20_000
+    df = spark.range(n).selectExpr("id", "if(id % 3 = 0, null, concat('c', id % 2)) cls", "cast(id % 3 as string) x", "if(id % 7 = 0, null, cast(id % 5 as string)) y", "cast(id % 11 as string) z")
+    written = []
+    kept = T._Kept.packed
+
+    def packed(self, *a):
+        run = kept(self, *a)
+        size = spark.sparkContext.accumulator(0)
+        written.append(size)
+
+        def counted(batches):
+            for b in run(batches):
+                size.add(sum(len(h.as_py()) for h in b["held"]))
+                yield b
+
+        return counted
+
+    T._Kept.packed = packed
+    try:
+        row = studies.excess_information(df, "id", "cls", ["x", "y", "z"], 4).first()
+    finally:
+        T._Kept.packed = kept
+    assert sum(x.value for x in written) == n * 4 * 19 and isinstance(row.observed, float)
+    each = sum(r.mi_bits for a, b in (("x", "y"), ("x", "z"), ("y", "z")) for r in T.mutual_information(df, "cls", a, b).collect())
+    assert abs(row.observed - each) < 1e-9 and row.null_max >= row.null_mean > 0
